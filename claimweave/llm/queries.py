@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, token_count
+from . import licenses, packing, sharding, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,9 +21,19 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir))
 
 
+def op8_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents dealt into 24 shards."""
+    return sharding.shard(documents(spark, sf_dir))
+
+
+def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """License phrases and notices in every document."""
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict:
     """Query name to callable."""
-    return {f.__name__: f for f in (op1_packing, op7_token_counts)}
+    return {f.__name__: f for f in (op1_packing, op7_token_counts, op8_sharding, op9_license_scan)}
 
 
 def oracle_sql() -> dict:
