@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import licenses, packing, sharding, token_count
+from . import crf, licenses, packing, pii, quality_rules, sharding, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +17,33 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality scores of every document."""
+    docs = documents(spark, sf_dir)
+    return crf.score(docs, crf.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
+def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Personal data in every document."""
+    found = pii.find(documents(spark, sf_dir))
+
+    def joined(spans):
+        rank = F.array_position(F.array(*map(F.lit, pii.KINDS)), spans["kind"])
+        return F.struct(rank.alias("k"), spans["start"].alias("s"), spans["end"].alias("e"))
+
+    def text(column):
+        ordered = F.array_sort(F.transform(column, joined))
+        return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, pii.KINDS)), x["k"].cast("int")), x["s"], x["e"])), ",")
+
+    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rule measures of every document, and whether it and its host pass."""
+    return quality_rules.apply_rules(documents(spark, sf_dir)).drop("host_rate")
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_count.count_tokens(documents(spark, sf_dir))
@@ -33,7 +61,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable."""
-    return {f.__name__: f for f in (op1_packing, op7_token_counts, op8_sharding, op9_license_scan)}
+    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_pii, op5_quality_rules, op7_token_counts, op8_sharding, op9_license_scan)}
 
 
 def oracle_sql() -> dict:
