@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, licenses, packing, pii, quality_rules, sharding, token_count
+from . import crf, licenses, near_dedup, packing, pii, quality_rules, sharding, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -44,6 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).drop("host_rate")
 
 
+def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate component of every document."""
+    return near_dedup.link(documents(spark, sf_dir))
+
+
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Token counts of every document."""
     return token_count.count_tokens(documents(spark, sf_dir))
@@ -61,7 +66,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable."""
-    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_pii, op5_quality_rules, op7_token_counts, op8_sharding, op9_license_scan)}
+    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_pii, op5_quality_rules, op6_near_dedup, op7_token_counts, op8_sharding, op9_license_scan)}
 
 
 def oracle_sql() -> dict:
