@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, licenses, near_dedup, packing, pii, quality_rules, sharding, token_count
+from . import crf, licenses, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -17,6 +17,11 @@ def op1_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), keep_ids=False)
 
 
+def op2_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Repeated passages removed from every document."""
+    return suffix_dedup.remove(documents(spark, sf_dir), with_bytes=False)
+
+
 def op3_quality_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Quality scores of every document."""
     docs = documents(spark, sf_dir)
@@ -66,7 +71,7 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict:
     """Query name to callable."""
-    return {f.__name__: f for f in (op1_packing, op3_quality_crf, op4_pii, op5_quality_rules, op6_near_dedup, op7_token_counts, op8_sharding, op9_license_scan)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_pii, op5_quality_rules, op6_near_dedup, op7_token_counts, op8_sharding, op9_license_scan)}
 
 
 def oracle_sql() -> dict:
