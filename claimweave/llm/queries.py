@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, licenses, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_count
+from . import crf, decontamination, licenses, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,9 +69,14 @@ def op9_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return licenses.scan(documents(spark, sf_dir))
 
 
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The benchmark items found in documents: a row for each document and item."""
+    return decontamination.find_leaks(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
 def queries() -> dict:
     """Query name to callable."""
-    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_pii, op5_quality_rules, op6_near_dedup, op7_token_counts, op8_sharding, op9_license_scan)}
+    return {f.__name__: f for f in (op1_packing, op2_suffix_dedup, op3_quality_crf, op4_pii, op5_quality_rules, op6_near_dedup, op7_token_counts, op8_sharding, op9_license_scan, op10_decontamination)}
 
 
 def oracle_sql() -> dict:
