@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import crf, decontamination, licenses, near_dedup, packing, pii, quality_rules, sharding, suffix_dedup, token_count
+from . import crf, decontamination, licenses, near_dedup, packing, pii, quality_rules, sharding, sql, suffix_dedup, token_count
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,4 +81,4 @@ def queries() -> dict:
 
 def oracle_sql() -> dict:
     """Query name to DuckDB SQL, where SQL can express it."""
-    return {}
+    return sql.oracle_sql()
