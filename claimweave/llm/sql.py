@@ -64,12 +64,12 @@ def license_scan(threshold: float = 0.85) -> str:
 d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{word}') as w from d),
 p as (select doc_id, len(w)::bigint as n_words, {hits} from w),
-q as (select doc_id, n_words, {every} as at, {base} as bl from p),
+q as (select doc_id, n_words, {every} as starts, {base} as bl from p),
 lines as (select doc_id, list_distinct(regexp_extract_all(l, '{word}')) as s from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
 near as (select * from lines where list_has_any(s, (select flatten(list(own)) from t))),
 f as (select doc_id, list(distinct label) as more, max(len(list_intersect(s, own))::double / len(own)) as best from near, t where len(list_intersect(s, own)) >= need group by doc_id)
-select q.doc_id, n_words, len(at)::bigint as n_base, (list_min(at) - 1)::bigint as first_word, (list_max(at) - 1)::bigint as last_word, array_to_string(list_sort(list_distinct(bl)), ',') as base_labels,
-array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(more, []::varchar[])))), ',') as labels, case when len(at) > 0 then 1.0 else coalesce(best, 0) end::double as score from q left join f using (doc_id)"""
+select q.doc_id, n_words, len(starts)::bigint as n_base, (list_min(starts) - 1)::bigint as first_word, (list_max(starts) - 1)::bigint as last_word, array_to_string(list_sort(list_distinct(bl)), ',') as base_labels,
+array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(more, []::varchar[])))), ',') as labels, case when len(starts) > 0 then 1.0 else coalesce(best, 0) end::double as score from q left join f using (doc_id)"""
 
 
 def oracle_sql() -> dict[str, str]:
