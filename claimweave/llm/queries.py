@@ -40,7 +40,10 @@ def op4_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
         ordered = F.array_sort(F.transform(column, joined))
         return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.element_at(F.array(*map(F.lit, pii.KINDS)), x["k"].cast("int")), x["s"], x["e"])), ",")
 
-    counts = [F.size(F.filter("base", lambda x, k=k: x["kind"] == k)).cast("long").alias(f"n_{k}") for k in pii.KINDS]
+    def count(kind):
+        return F.size(F.filter("base", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+
+    counts = [count(kind) for kind in pii.KINDS]
     return found.select("doc_id", *counts, F.sha2(text("base"), 256).alias("base_sha256"), text(F.concat("base", "added")).alias("spans"))
 
 
