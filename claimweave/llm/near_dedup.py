@@ -6,9 +6,9 @@ the ring is turned by k places, so two permutations generate all coordinates. BA
 coordinates make candidates: a pair of similarity 0.8 misses all bands with probability below 3e-7.
 
 Documents with equal sets are represented by one of them. In a bucket, documents are compared with one
-leader rather than with each other; leaders change from round to round, and pairs in a bucket that no
-component joins by then are compared all the same, so no candidate is dropped. Links are confirmed on
-full sets.
+leader rather than with each other; leaders change from round to round. Documents of buckets that still
+hold several components then go through an exact prefix join (see rare_pairs), which finds every similar
+pair among them without a bucket's pairs being listed. Links are confirmed on full sets.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a row without
 an id is linked with nothing, has no component and is kept; rows that share an id share a component; an
@@ -30,6 +30,7 @@ from .components import components
 from .quality_rules import window_hashes
 
 BANDS, ROWS, RING_BITS, ROUNDS = 50, 6, 20, 3
+CLASS_STEP = 1.05
 PERCENT = 80
 _ring: dict[int, np.ndarray] = {}
 
@@ -155,6 +156,57 @@ def _size_fits(a, b):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
 
+def _size_class(n):
+    """Classes of sizes, each five percent above the one before."""
+    return F.floor(F.log(n.cast("double")) / np.log(CLASS_STEP)).cast("int")
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): candidates for every similar pair of different components among members (id, component).
+
+    Items are ordered by how many members have them, rarest first. Sets of sizes n and m that are similar
+    share at least 4/9 (n + m) items, so they share one of the first n - 4/9 (n + m) + 1 of either. Partners
+    are told apart by size class, which keeps these prefixes short. In a group of one item and two classes,
+    only documents outside its most frequent component look for partners, since of two documents in
+    different components one is outside.
+    """
+    own = sets.join(members, "id")
+
+    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for lo in range(0, len(batch), 256):
+                part = batch.slice(lo, 256)
+                raw = part.column(3)
+                count = np.array([len(x) // 8 for x in raw.to_pylist()], np.int64)
+                row = pa.array(np.repeat(np.arange(len(part)), count))
+                item = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
+                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(3)), pa.array(item)], names=["id", "n", "component", "item"])
+
+    kind = members.schema["id"].dataType.simpleString()
+    rows = own.select("id", "n", "component", "items").mapInArrow(items, f"id {kind}, n long, component {kind}, item long")
+    often = rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
+    held = rows.join(often, "item").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("common"))
+    # Items that one member has come first in the order and start no pair.
+    held = held.withColumns({"own": _size_class(F.col("n")), "alone": F.col("n") - F.size("common")})
+    held = held.withColumn("other", F.explode(F.sequence(_size_class(F.col("n") * 0.8), _size_class(F.col("n") * 1.25))))
+    least = F.greatest(F.pow(F.lit(CLASS_STEP), F.col("other")) * 0.999999, F.col("n") * 0.8)
+    shared = F.ceil((F.col("n") + least) * PERCENT / (100 + PERCENT) - 1e-6)
+    width = F.col("n") - shared + 1 - F.col("alone")
+    prefix = held.where(width > 0).withColumn("start", F.slice("common", F.lit(1), width.cast("int")))
+    spread = prefix.select("id", "n", "component", "own", "alone", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.posexplode("start").alias("spot", "found"))
+    spread = spread.select("id", "n", "component", "own", (F.col("alone") + F.col("spot")).alias("spot"), "low", "high", F.col("found.item").alias("item"))
+    group = ["item", "low", "high"]
+    spread = store.write(spread, "prefixes")
+    main = spread.groupBy(*group).agg(F.mode("component").alias("main"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(*group, "main")
+    mixed = spread.join(main, group)
+    seekers = mixed.where(F.col("component") != F.col("main")).alias("x")
+    every = mixed.alias("y")
+    met = seekers.join(every, group).where((F.col("x.component") != F.col("y.component")) & (F.col("x.own") + F.col("y.own") == F.col("low") + F.col("high")) & _size_fits(F.col("x.n"), F.col("y.n")))
+    most = F.least("x.spot", "y.spot") + F.least(F.col("x.n") - F.col("x.spot"), F.col("y.n") - F.col("y.spot"))
+    met = met.where(most * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
+    return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
+
+
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept."""
     sketched = store.write(sketch(docs, id_col, text_col), "sketch")
@@ -176,10 +228,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
             leaders = open_.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), F.struct(order, "id")).alias("lead"))
             met = open_.join(leaders, "key").where(F.col("component") != F.col("lead.component")).where(_size_fits(F.col("n"), F.col("lead.n")))
             pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        else:  # what no leader has joined, pair by pair
-            other = open_.select("key", F.col("id").alias("_id"), F.col("n").alias("_n"), F.col("component").alias("_component"))
-            met = open_.join(other, "key").where((F.col("id") < F.col("_id")) & (F.col("component") != F.col("_component")) & _size_fits(F.col("n"), F.col("_n")))
-            pairs = met.select(F.col("id").alias("a"), F.col("_id").alias("b")).distinct()
+        else:  # what no leader has joined
+            pairs = rare_pairs(open_.select("id", "component").distinct(), sets)
         found = confirm(pairs, sets)
         edges = store.write(found if every is None else every.unionByName(found), "links")
         if every is not None:
