@@ -214,4 +214,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     from . import store
 
     leaks = store.write(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs[id_col] == F.col("_leak"), "left_anti")
+    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")

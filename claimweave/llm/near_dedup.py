@@ -218,7 +218,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
     buckets = store.write(rows.join(shared, "key").distinct(), "buckets")
     ids = buckets.select(F.col("id").alias("_id")).distinct()
-    sets = store.write(full_sets(docs.join(ids, docs[id_col] == F.col("_id"), "left_semi"), id_col, text_col).dropDuplicates(["id", "n", "items"]), "sets")
+    chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
+    sets = store.write(full_sets(chosen, "id", "text").dropDuplicates(["id", "n", "items"]), "sets")
     store.drop(sketched)
     labels = buckets.select("id").distinct().withColumn("component", F.col("id"))
     every, open_ = None, buckets.withColumn("component", F.col("id"))
@@ -252,4 +253,4 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay when one document of each component does, with all their columns."""
     gone = store.write(link(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
-    return docs.join(gone, docs[id_col] == F.col("_gone"), "left_anti")
+    return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")
