@@ -4,7 +4,8 @@ Blocks are the lines of a text; a block's set is its words. Words are ordered by
 them, rarest first. A template is found in a block that holds at least `threshold` of its words; by the
 prefix filter such a block shares one of the template's first words in that order, by the length filter
 it has enough words, by the positional filter enough are left after the shared one. What is left is
-verified on whole sets. Base phrases are counted beside that. DataFrame functions only.
+verified on whole sets; a block that meets several templates gets the labels of those it holds the largest
+share of. Base phrases are counted beside that. DataFrame functions only.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows give a row
 each; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -17,6 +18,7 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from . import store
 
@@ -100,7 +102,7 @@ def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str,
     return exact.select(*keys, "block", "template", "label", (F.col("_shared") / F.size("words")).alias("containment"))
 
 
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = 0.85) -> DataFrame:
+def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = 0.9) -> DataFrame:
     """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     templates = templates or TEMPLATES
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
@@ -108,7 +110,9 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_bytes"), text.alias("_text"))
     keys = ["_id", "_hash", "_bytes"]
     hits = store.write(block_hits(keyed, keys, "_text", vocabulary), "blocks")
-    found = join_templates(hits, keys, templates, threshold).groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    met = join_templates(hits, keys, templates, threshold)
+    best = F.rank().over(Window.partitionBy(*keys, "block").orderBy(F.col("containment").desc()))
+    found = met.withColumn("_rank", best).where("_rank = 1").groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     base = keyed
     for k, (phrase, _) in enumerate(PHRASES):
         base = base.withColumn(f"_n{k}", F.regexp_count("_text", F.lit(phrase_pattern(phrase))))

@@ -44,7 +44,7 @@ c as (select a as doc_id, min(b) as component_id from reach group by a)
 select n.doc_id, n as n_shingles, component_id, n.doc_id = component_id as kept from n join c using (doc_id)"""
 
 
-def license_scan(threshold: float = 0.85) -> str:
+def license_scan(threshold: float = 0.9) -> str:
     word = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
     starts = []
     for phrase, _ in PHRASES:
@@ -65,9 +65,10 @@ d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as te
 w as (select doc_id, text, regexp_extract_all(text, '{word}') as w from d),
 p as (select doc_id, len(w)::bigint as n_words, {hits} from w),
 q as (select doc_id, n_words, {every} as starts, {base} as bl from p),
-lines as (select doc_id, list_distinct(regexp_extract_all(l, '{word}')) as s from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
+lines as (select doc_id, row_number() over () as block, list_distinct(regexp_extract_all(l, '{word}')) as s from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
 near as (select * from lines where list_has_any(s, (select flatten(list(own)) from t))),
-f as (select doc_id, list(distinct label) as more, max(len(list_intersect(s, own))::double / len(own)) as best from near, t where len(list_intersect(s, own)) >= need group by doc_id)
+met as (select doc_id, label, len(list_intersect(s, own))::double / len(own) as c, rank() over (partition by block order by len(list_intersect(s, own))::double / len(own) desc) as r from near, t where len(list_intersect(s, own)) >= need),
+f as (select doc_id, list(distinct label) as more, max(c) as best from met where r = 1 group by doc_id)
 select q.doc_id, n_words, len(starts)::bigint as n_base, (list_min(starts) - 1)::bigint as first_word, (list_max(starts) - 1)::bigint as last_word, array_to_string(list_sort(list_distinct(bl)), ',') as base_labels,
 array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(more, []::varchar[])))), ',') as labels, case when len(starts) > 0 then 1.0 else coalesce(best, 0) end::double as score from q left join f using (doc_id)"""
 
