@@ -353,15 +353,19 @@ def report_rollup(spark, d):
 @query("""with g as (select item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') as t from benchmark)
 select d.doc_id, g.item_id from documents d join g on contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), ' '), g.t)""")
 def benchmark_contamination(spark, d):
-    """Documents that hold a benchmark item verbatim. Candidates share the item's first six words as a shingle key."""
+    """Documents that hold a benchmark item of three words or more verbatim.
+
+    Candidates share the item's longest inner word, which is a whole word whatever stands around the item.
+    Texts join only the pairs that are left.
+    """
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     docs = _docs(spark, d).select("doc_id", flat(F.col("text")).alias("_doc"))
     items = table(spark, d, "benchmark").select("item_id", flat(F.col("text")).alias("_item"))
-    middle = F.split("_item", " ")
-    items = items.withColumn("_key", F.array_join(F.slice(middle, 2, 6), " "))  # whole words whatever stands around the item
-    parts = F.split("_doc", " ")
-    keys = F.when(F.size(parts) >= 6, F.array_distinct(F.transform(F.sequence(F.lit(1), F.size(parts) - 5), lambda i: F.array_join(F.slice(parts, i, 6), " "))))
-    return docs.withColumn("_key", F.explode(keys)).join(items, "_key").where(F.contains("_doc", F.col("_item"))).select("doc_id", "item_id").distinct()
+    inner = F.slice(F.split("_item", " "), F.lit(2), F.greatest(F.size(F.split("_item", " ")) - 2, F.lit(0)))
+    items = items.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    words = docs.select("doc_id", F.explode(F.array_distinct(F.split("_doc", " "))).alias("_key"))
+    pairs = words.join(items.select("item_id", "_key"), "_key").select("doc_id", "item_id").distinct()
+    return pairs.join(docs, "doc_id").join(items, "item_id").where(F.contains("_doc", F.col("_item"))).select("doc_id", "item_id")
 
 
 # --- policy --------------------------------------------------------------------------------------------------
