@@ -245,6 +245,8 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
         open_ = store.write(now.join(mixed, "key").select("key", "id", "n", "component"), "open")
         if not open_.limit(1).count():
             break
+    store.drop(sets)
+    store.drop(every)
     final = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
     component = F.coalesce("component", "rep", "id")
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))

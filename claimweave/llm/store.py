@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
+_written: dict[str, SparkSession] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
     """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder is set."""
     at = spark.conf.get("spark.checkpoint.dir", None)
@@ -24,11 +29,24 @@ def write(df: DataFrame, tag: str) -> DataFrame:
     df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
+    _written[path] = spark
     return out
 
 
 def drop(df: DataFrame) -> None:
     """Deletes a table of write() that no later plan reads."""
-    spark = df.sparkSession
-    path = spark._jvm.org.apache.hadoop.fs.Path(df.written_path)
-    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+    _delete(df.sparkSession, df.written_path)
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    _written.pop(path, None)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
+
+
+@atexit.register
+def clean() -> None:
+    """Deletes what is left when the driver ends; a result may read it until then."""
+    for path, spark in list(_written.items()):
+        with contextlib.suppress(Exception):  # the session may have ended
+            _delete(spark, path)
