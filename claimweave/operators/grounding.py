@@ -190,24 +190,61 @@ def verdicts_of_pairs(left: DataFrame, rows: DataFrame, config: Config = Config(
 
 
 def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend = lexical) -> DataFrame:
-    """A row for each claim: verbatim ones are entailed, the others go through candidates and the backend."""
+    """A row for each claim: verbatim ones are entailed, the others go through candidates and the backend.
+
+    One join of claims and context on eval_id carries all of it: the windows and the aggregate that follow
+    are keyed by eval_id and claim_idx, which that partitioning satisfies. The backend sees only the
+    candidates of claims without a verbatim match.
+    """
     own, context = split_claims(evals, config), split_context(evals)
-    matched = fast_path(own, context, config)
-    left = residue(own, matched)
-    rows = scored(candidates(left, context, config), backend)
-    judged = verdicts_of_pairs(left, rows, config)
-    empty = evals.where(F.size(T.sentences(F.col("context"))) == 0).select("eval_id").withColumn("_empty", F.lit(True))
-    judged = judged.join(empty, "eval_id", "left")  # without context every claim is neutral
-    none = F.col("_empty").isNotNull()
-    judged = judged.withColumns({"label": F.when(none, "neutral").otherwise(F.col("label")), "n": F.when(none, 1.0).otherwise(F.col("n")), "supported": F.when(none, not config.neutral_unsupported).otherwise(F.col("supported"))}).drop("_empty")
-    direct = own.join(matched, ["eval_id", "claim_idx"]).join(context.select("eval_id", "ctx_idx", "ctx"), ["eval_id", "ctx_idx"])
+    pairs = _embedded(own, "claim", "a").join(_embedded(context, "ctx", "b"), "eval_id", "left")
+    hit = (F.octet_length("claim_norm") >= config.min_match_bytes) & F.contains(F.col("ctx_norm"), F.col("claim_norm"))
+    sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), 26, F.col("a_norm"), F.col("b_norm"))
+    rows = pairs.select("eval_id", "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
+    near = F.col("ctx_idx").isNotNull() if config.top_k == 0 else F.coalesce(F.col("sim") >= config.min_similarity, F.lit(False))
+    per = Window.partitionBy("eval_id", "claim_idx")
+    rows = rows.withColumn("near", near).withColumns({
+        "at": F.min(F.when(F.col("hit"), F.col("ctx_idx"))).over(per),
+        "rank": F.row_number().over(per.orderBy(F.col("near").desc(), F.col("sim").desc(), "ctx_idx")),
+    })
+    if config.top_k:
+        k = T.adaptive_k(F.col("claim"), config.top_k, config.adaptive)
+        rows = rows.withColumn("near", F.col("near") & (F.col("rank") <= k))
+    rows = rows.withColumn("near", F.col("near") & F.col("at").isNull())
+    # The first row stays, so that each claim keeps one.
+    rows = rows.where(F.col("near") | (F.col("ctx_idx") == F.col("at")) | (F.col("rank") == 1))
+    e, n, c = (F.when(F.col("near"), x) for x in backend(F.col("ctx"), F.col("claim")))
+    rows = rows.withColumns({"e": e, "n": n, "c": c})
+    score = F.greatest("e", "c")
+    usable = F.when(F.col("near") & ((score > 0) | F.col("sim").isNotNull()), F.struct(score, -F.col("rank")))
+    part, strong = F.col("near") & is_partial(config), F.col("near") & (F.col("c") >= config.contradiction) & (F.col("c") > 0)
+    grouped = rows.groupBy("eval_id", "claim_idx", "claim").agg(
+        F.max_by(F.struct("ctx_idx", "ctx", "sim", "e", "n", "c"), usable).alias("best"),
+        F.max(usable).alias("_usable"),
+        F.max(F.when(F.col("ctx_idx") == F.col("at"), F.struct("ctx_idx", "ctx"))).alias("_hit"),
+        F.max(F.when(strong, F.col("c"))).alias("against"),
+        F.count(F.when(part, 1)).alias("supporting"),
+        F.avg(F.when(part, F.col("e"))).alias("_mean"),
+        F.count(F.when(F.col("near"), 1)).alias("evaluated"),
+        (F.count("ctx_idx") == 0).alias("_bare"),
+    )
+    grouped = grouped.withColumns({"best": F.when(F.col("_usable").isNotNull(), F.col("best")), "verbatim": F.col("_hit").isNotNull()})
+    e, n, c = (F.coalesce(F.col(f"best.{x}"), F.lit(0.0)) for x in "enc")
+    label = F.when(F.col("evaluated") == 0, config.no_evidence_label).otherwise(classify(e, n, c, config))
+    label = F.when(F.col("verbatim"), "entailment").when(F.col("_bare"), "neutral").otherwise(label)
     compound = T.is_compound(F.col("claim")) if config.flag_compound else F.lit(False)
-    direct = direct.select(
-        "eval_id", "claim_idx", "claim", F.lit("entailment").alias("label"), F.lit(1.0).alias("e"), F.lit(0.0).alias("n"), F.lit(0.0).alias("c"), F.lit(True).alias("supported"),
-        "ctx_idx", F.col("ctx").alias("evidence"), F.lit(None).cast("double").alias("sim"), F.lit(None).cast("double").alias("against"), F.lit(0).cast("long").alias("evaluated"),
-        compound.alias("is_compound"), F.lit(0).cast("long").alias("supporting"), F.lit(True).alias("verbatim"),
+    out = grouped.withColumns({"label": label, "is_compound": compound})
+    partial = ~F.col("_bare") & F.col("is_compound") & (F.col("label") == "neutral") & F.col("against").isNull() & (F.col("supporting") >= 2)
+    out = out.withColumn("_partial", partial)
+    exact = F.col("verbatim")
+    return out.select(
+        "eval_id", "claim_idx", "claim",
+        F.when(F.col("_partial"), "partial").otherwise(F.col("label")).alias("label"),
+        F.when(exact, 1.0).when(F.col("_partial"), F.col("_mean")).otherwise(e).alias("e"), F.when(F.col("_bare"), 1.0).otherwise(n).alias("n"), c.alias("c"),
+        (F.col("_partial") | (F.col("label") == "entailment") | ((F.col("label") == "neutral") & F.lit(not config.neutral_unsupported))).alias("supported"),
+        F.when(exact, F.col("_hit.ctx_idx")).otherwise(F.col("best.ctx_idx")).alias("ctx_idx"), F.when(exact, F.col("_hit.ctx")).otherwise(F.col("best.ctx")).alias("evidence"),
+        F.col("best.sim").alias("sim"), "against", "evaluated", "is_compound", F.when(F.col("_partial"), F.col("supporting")).otherwise(0).alias("supporting"), "verbatim",
     )
-    return judged.unionByName(direct)
 
 
 def scores(evals: DataFrame, judged: DataFrame) -> DataFrame:
