@@ -57,3 +57,16 @@ def clip(spans: DataFrame, answer_start: str) -> DataFrame:
     """Spans of a text of context, question and answer, as far as they lie in the answer and counted from its start."""
     at = F.col(answer_start)
     return spans.where(F.col("end") > at).withColumns({"start": F.greatest(F.col("start") - at, F.lit(0)), "end": F.col("end") - at})
+
+
+def rag_text(context, question, answer):
+    """(text, answer_start) Columns of context, question and answer put together; an empty question leaves no blank."""
+    asked = F.coalesce(question, F.lit(""))
+    head = F.when(asked == "", F.concat(context, F.lit(" "))).otherwise(F.concat(context, F.lit(" "), asked, F.lit(" ")))
+    return F.concat(head, answer), F.length(head)
+
+
+def detect_rag(rows: DataFrame, keys: list[str], scored_tokens: DataFrame, threshold: float = 0.5, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(spans in the answer, ratio over the whole text) from the tokens of rag_text; rows has keys and answer_start."""
+    found = kept(merge_tokens(scored_tokens, keys), threshold, least).join(rows.select(*keys, "answer_start"), keys)
+    return clip(found, "answer_start").drop("answer_start"), ratio(scored_tokens, keys)

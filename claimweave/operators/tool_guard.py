@@ -43,6 +43,16 @@ class Policy:
     parameters: tuple[Parameter, ...] = field(default_factory=tuple)
 
 
+def policy_from_json(text: str) -> Policy:
+    """A policy of its JSON form: denied, allowed, ordering and parameters, named as the classes' fields."""
+    raw = json.loads(text)
+    if odd := set(raw) - {"denied", "allowed", "ordering", "parameters"}:
+        raise ValueError(f"unknown keys: {sorted(odd)}")
+    parameters = tuple(Parameter(**{k: tuple(v) if k == "values" else v for k, v in p.items()}) for p in raw.get("parameters", []))
+    allowed = raw.get("allowed")
+    return Policy(tuple(raw.get("denied", [])), None if allowed is None else tuple(allowed), tuple(Ordering(**o) for o in raw.get("ordering", [])), parameters)
+
+
 def parameter_reason(rule: Parameter, value: Column, tool: Column) -> Column:
     """Why the value breaks the rule, or null; a missing value breaks none."""
     where = F.concat(F.lit(f"Parameter '{rule.pointer}' in tool '"), tool, F.lit("'"))

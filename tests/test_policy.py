@@ -126,3 +126,30 @@ def test_schema_depth_and_refusal(spark):
     for bad in ({"minimum": 1, "exclusiveMinimum": True}, {"$ref": "#/x"}):
         with pytest.raises(schemas.UnsupportedSchema):
             schemas.validate(df, ["id"], "doc", bad)
+
+
+def test_policy_json():
+    text = '{"denied":["a"],"ordering":[{"prerequisite":"v","dependent":"t"}],"parameters":[{"tool":"t","pointer":"/x","kind":"allowed","values":[1,"b"]}]}'
+    p = TG.policy_from_json(text)
+    assert p == TG.Policy(("a",), None, (TG.Ordering("v", "t"),), (TG.Parameter("t", "/x", "allowed", values=(1, "b")),))
+    with pytest.raises(ValueError, match="unknown"):
+        TG.policy_from_json('{"rules":[]}')
+
+
+def test_agents(spark):
+    cases = spark.createDataFrame([(1, "tell me"), (2, 'say "x"')], "case_id long, prompt string")
+    sent = robustness.expand(cases, 2, 3)
+    assert sent.count() == 2 * 3 * 3 and sent.where("adversarial").count() == 12
+    answered = robustness.ask(sent, lambda: lambda prompts: [p.upper() for p in prompts], "upper")
+    assert all(r.response == r.prompt.upper() for r in answered.collect())
+    body = cases.where("case_id = 2").select(robustness.fill_template(F.lit('{"q":"{prompt}"}'), F.col("prompt"))).first()[0]
+    assert json.loads(body) == {"q": 'say "x"'}
+
+
+def test_rag(spark):
+    text, at = spans.rag_text(F.col("c"), F.col("q"), F.col("a"))
+    rows = spark.createDataFrame([(1, "red fox", "why", "blue fox"), (2, "red fox", "", "fox")], "id long, c string, q string, a string").select("id", "c", text.alias("text"), at.alias("answer_start"))
+    assert [(r.text, r.answer_start) for r in rows.orderBy("id").collect()] == [("red fox why blue fox", 12), ("red fox fox", 8)]
+    found, share = spans.detect_rag(rows, ["id"], spans.unsupported_tokens(rows, ["id"], "c", "text"))
+    assert [(r.id, r.start, r.end) for r in found.collect()] == [(1, 0, 4)]
+    assert {r.id: round(r.ratio, 3) for r in share.collect()} == {1: 0.4, 2: 0.0}
