@@ -94,7 +94,8 @@ def residue(own: DataFrame, matched: DataFrame) -> DataFrame:
     return own.join(matched, ["eval_id", "claim_idx"], "left_anti")
 
 
-def _embedded(df: DataFrame, column: str, name: str) -> DataFrame:
+def embedded(df: DataFrame, column: str, name: str) -> DataFrame:
+    """df with the vector of a text column and its length."""
     v = T.letter_vector(F.col(column))
     return df.withColumn(f"{name}_v", v).withColumn(f"{name}_norm", F.sqrt(T.dot(F.col(f"{name}_v"), F.col(f"{name}_v"), 26)))
 
@@ -105,7 +106,7 @@ def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k
     Equal similarities keep the order of the context. The rank limit is planned below the window's shuffle.
     """
     k = F.lit(config.top_k) if k_col is None else k_col
-    pairs = _embedded(left, "claim", "a").join(_embedded(context, "ctx", "b"), "eval_id")
+    pairs = embedded(left, "claim", "a").join(embedded(context, "ctx", "b"), "eval_id")
     sim = T.cosine(F.col("a_v"), F.col("b_v"), 26, F.col("a_norm"), F.col("b_norm"))
     every = pairs.select("eval_id", "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), T.adaptive_k(F.col("claim"), k, config.adaptive).alias("k"))
     if config.top_k == 0:
@@ -196,13 +197,17 @@ def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend = lex
     are keyed by eval_id and claim_idx, which that partitioning satisfies. The backend sees only the
     candidates of claims without a verbatim match.
     """
-    own, context = split_claims(evals, config), split_context(evals)
-    pairs = _embedded(own, "claim", "a").join(_embedded(context, "ctx", "b"), "eval_id", "left")
+    pairs = embedded(split_claims(evals, config), "claim", "a").join(embedded(split_context(evals), "ctx", "b"), "eval_id", "left")
+    return judge(pairs, ["eval_id"], config, backend)
+
+
+def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend: Backend = lexical) -> DataFrame:
+    """A row for each claim of `keys`, from all its pairs (embedded claims left-joined to embedded context)."""
     hit = (F.octet_length("claim_norm") >= config.min_match_bytes) & F.contains(F.col("ctx_norm"), F.col("claim_norm"))
     sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), 26, F.col("a_norm"), F.col("b_norm"))
-    rows = pairs.select("eval_id", "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
+    rows = pairs.select(*keys, "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
     near = F.col("ctx_idx").isNotNull() if config.top_k == 0 else F.coalesce(F.col("sim") >= config.min_similarity, F.lit(False))
-    per = Window.partitionBy("eval_id", "claim_idx")
+    per = Window.partitionBy(*keys, "claim_idx")
     rows = rows.withColumn("near", near).withColumns({
         "at": F.min(F.when(F.col("hit"), F.col("ctx_idx"))).over(per),
         "rank": F.row_number().over(per.orderBy(F.col("near").desc(), F.col("sim").desc(), "ctx_idx")),
@@ -218,7 +223,7 @@ def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend = lex
     score = F.greatest("e", "c")
     usable = F.when(F.col("near") & ((score > 0) | F.col("sim").isNotNull()), F.struct(score, -F.col("rank")))
     part, strong = F.col("near") & is_partial(config), F.col("near") & (F.col("c") >= config.contradiction) & (F.col("c") > 0)
-    grouped = rows.groupBy("eval_id", "claim_idx", "claim").agg(
+    grouped = rows.groupBy(*keys, "claim_idx", "claim").agg(
         F.max_by(F.struct("ctx_idx", "ctx", "sim", "e", "n", "c"), usable).alias("best"),
         F.max(usable).alias("_usable"),
         F.max(F.when(F.col("ctx_idx") == F.col("at"), F.struct("ctx_idx", "ctx"))).alias("_hit"),
@@ -238,7 +243,7 @@ def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend = lex
     out = out.withColumn("_partial", partial)
     exact = F.col("verbatim")
     return out.select(
-        "eval_id", "claim_idx", "claim",
+        *keys, "claim_idx", "claim",
         F.when(F.col("_partial"), "partial").otherwise(F.col("label")).alias("label"),
         F.when(exact, 1.0).when(F.col("_partial"), F.col("_mean")).otherwise(e).alias("e"), F.when(F.col("_bare"), 1.0).otherwise(n).alias("n"), c.alias("c"),
         (F.col("_partial") | (F.col("label") == "entailment") | ((F.col("label") == "neutral") & F.lit(not config.neutral_unsupported))).alias("supported"),

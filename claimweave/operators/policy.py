@@ -84,17 +84,10 @@ def violations(rules: DataFrame, outputs: DataFrame, key: str = "prompt_id", thr
     config = grounding.Config(neutral_unsupported=strict, flag_compound=False, contradiction=threshold)
     own = claims.long_enough(claims.explode_sentences(outputs, ["output_id", key], "output"), config.min_claim_bytes)
     own = own.select("output_id", key, F.col("idx").alias("claim_idx"), F.col("sentence").alias("claim"), T.normalized(F.col("sentence")).alias("claim_norm"))
-    held = own.join(rules, key).withColumn("eval_id", F.struct("output_id", "rule_idx"))
-    claims_ = held.select("eval_id", "claim_idx", "claim", "claim_norm")
-    # The context of an evaluation is its rule's assertion, so it joins on the rule.
-    context = claims.explode_sentences(rules, [key, "rule_idx"], "assertion").select(key, "rule_idx", F.col("idx").alias("ctx_idx"), F.col("sentence").alias("ctx"), T.normalized(F.col("sentence")).alias("ctx_norm"))
-    context = held.select("eval_id", key, "rule_idx").distinct().join(context, [key, "rule_idx"]).select("eval_id", "ctx_idx", "ctx", "ctx_norm")
-    matched = grounding.fast_path(claims_, context, config)
-    left = grounding.residue(claims_, matched)
-    judged = grounding.verdicts_of_pairs(left, grounding.scored(grounding.candidates(left, context, config), backend), config)
-    judged = judged.withColumns({"output_id": F.col("eval_id.output_id"), "rule_idx": F.col("eval_id.rule_idx")})
-    kinds = held.select("output_id", "rule_idx", "claim_idx", "constraint_type")
-    both = judged.join(kinds, ["output_id", "rule_idx", "claim_idx"])
+    context = claims.explode_sentences(rules, [key, "rule_idx", "constraint_type"], "assertion")
+    context = context.select(key, "rule_idx", "constraint_type", F.col("idx").alias("ctx_idx"), F.col("sentence").alias("ctx"), T.normalized(F.col("sentence")).alias("ctx_norm"))
+    pairs = grounding.embedded(own, "claim", "a").join(grounding.embedded(context, "ctx", "b"), key)
+    both = grounding.judge(pairs, ["output_id", "rule_idx", "constraint_type"], config, backend)
     against = F.col("label") == "contradiction"
     off = (F.col("label") == "neutral") & F.lit(strict)
     broken = (
