@@ -6,7 +6,6 @@ The pieces are those of the pattern 's|'t|'re|'ve|'m|'ll|'d| ?\\p{L}+| ?\\p{N}+|
 from __future__ import annotations
 
 import sys
-import unicodedata
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,8 +65,7 @@ def piece_starts(buf: np.ndarray, at: np.ndarray) -> np.ndarray:
     previous[0], previous[1:] = 0, buf[:-1]
     start = (cls != before) & ~space & ~((before == SPACE) & (previous == 0x20))
     start |= space & (before != SPACE)
-    if wide := int(np.count_nonzero(space & ~(buf < 0x80) & head)):
-        del wide
+    if np.any(space & (buf >= 0x80) & head):  # white space of several bytes
         size = np.where(buf >= 0xF0, 4, np.where(buf >= 0xE0, 3, np.where(buf >= 0xC0, 2, 1)))
         nxt = np.arange(n) + size
     else:
