@@ -179,7 +179,7 @@ def assign(pieces: DataFrame, order: list[str], length: int = 1024) -> DataFrame
     runs, _ = plan(histogram, length)
     table = spark.createDataFrame(runs, "length long, _lo long, _hi long, _sequence long, offset long")
     ranked = grouped.withColumn("_row", F.row_number().over(Window.partitionBy("length", "_group").orderBy(*order)) - 1)
-    ranked = ranked.join(F.broadcast(base), ["length", "_group"])  # length x RANK_GROUPS rows at most
+    ranked = ranked.join(base, ["length", "_group"])
     ranked = ranked.withColumn("_rank", F.col("_base") + F.col("_row"))
     # The runs depend on the number of lengths alone, so they can be broadcast.
     table = F.broadcast(table.withColumnRenamed("length", "_length"))
