@@ -219,6 +219,7 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     rows = docs.select(F.col(id_col), F.col(text_col)).join(F.broadcast(chosen), id_col)  # `most` rows of two numbers
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("crf")
         for batch in batches:
             for lo, hi, buf, at in K.slices(batch.column(1)):
                 own, text, size = line_features(buf, at)
@@ -245,6 +246,7 @@ def score(docs: DataFrame, model: Model | None, id_col: str = "doc_id", text_col
     """A row for each document: id, held_out, score, predicted."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("crf")
         for batch in batches:
             found = [score_slice(model, buf, at) for _, _, buf, at in K.slices(batch.column(2))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(np.concatenate(found) if found else np.zeros(0))], names=["id", "held_out", "score"])
@@ -259,6 +261,7 @@ def keep_good(docs: DataFrame, model: Model | None, text_col: str = "text", thre
     where = docs.columns.index(text_col)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("crf")
         for batch in batches:
             found = [score_slice(model, buf, at) for _, _, buf, at in K.slices(batch.column(where))]
             if found:

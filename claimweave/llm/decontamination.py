@@ -194,6 +194,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         held = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            K.cache("decontamination")
             items = Benchmark(*held.value)
             for batch in batches:
                 for lo, _, buf, at in K.slices(batch.column(1)):

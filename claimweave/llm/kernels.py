@@ -25,6 +25,22 @@ FOLD = np.arange(256, dtype=np.uint8)
 FOLD[ord("A") : ord("Z") + 1] += 32
 
 
+_caches: dict[str, dict] = {}
+
+
+def cache(owner: str) -> dict:
+    """What an operator keeps in a worker process from task to task.
+
+    Workers are used again by later stages, so asking for one operator's cache empties those of the others:
+    a worker holds one operator's tables at a time.
+    """
+    for other, held in _caches.items():
+        if other != owner and held:
+            held.clear()
+            pa.default_memory_pool().release_unused()
+    return _caches.setdefault(owner, {})
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finaliser of 64-bit hashes."""
     h = h ^ (h >> U64(30))

@@ -32,7 +32,6 @@ from .quality_rules import window_hashes
 BANDS, ROWS, RING_BITS, ROUNDS = 50, 6, 20, 3
 CLASS_STEP = 1.05
 PERCENT = 80
-_ring: dict[int, np.ndarray] = {}
 
 
 def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
@@ -62,10 +61,11 @@ def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int = 2) -> tuple[np.nda
 
 def _ring_values(coordinates: int) -> np.ndarray:
     """The second permutation, with its beginning again after its end."""
-    if coordinates not in _ring:
+    ring = K.cache("near_dedup")
+    if coordinates not in ring:
         values = np.random.default_rng(20).permutation(1 << RING_BITS).astype(np.int32)
-        _ring[coordinates] = np.concatenate([values, values[: coordinates - 1]])
-    return _ring[coordinates]
+        ring[coordinates] = np.concatenate([values, values[: coordinates - 1]])
+    return ring[coordinates]
 
 
 def signatures(shingles: np.ndarray, offsets: np.ndarray, coordinates: int = BANDS * ROWS, chunk: int = 2048) -> np.ndarray:
@@ -94,6 +94,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, s1, s2, bands) of each document: its set's size and two sums that identify the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("near_dedup")
         for batch in batches:
             for lo, hi, buf, at in K.slices(batch.column(1)):
                 sets, off = shingle_sets(buf, at)
@@ -118,6 +119,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(id, n, items) with a document's sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("near_dedup")
         for batch in batches:
             for lo, hi, buf, at in K.slices(batch.column(1)):
                 sets, off = shingle_sets(buf, at)
@@ -143,6 +145,7 @@ def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     joined = pairs.select("a", "b").join(left, "a").join(right, "b")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("near_dedup")
         for batch in batches:
             x, y = batch.column(2), batch.column(3)
             ok = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(len(batch))]
@@ -173,6 +176,7 @@ def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     own = sets.join(members, "id")
 
     def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("near_dedup")
         for batch in batches:
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)

@@ -28,12 +28,12 @@ from .token_count import VOCABULARY, vocabulary_path
 
 #: Sub-groups in which the pieces of one length are ranked, so that a hot length is not one task's.
 RANK_GROUPS = 256
-_loaded: dict[str, tuple] = {}
 
 
 def _encoder(path: str) -> tuple:
     """The tokenizer and a table of the ids of pieces, one for each worker process and vocabulary."""
-    if path not in _loaded:
+    loaded = K.cache("packing")
+    if path not in loaded:
         import os
 
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -49,8 +49,8 @@ def _encoder(path: str) -> tuple:
             return np.fromiter(map(len, ids), np.int32, len(ids)), np.fromiter((i for x in ids for i in x), np.int32)
 
         special = {t.content: i for i, t in tokenizer.get_added_tokens_decoder().items()}
-        _loaded[path] = special, P.PieceTable(value)
-    return _loaded[path]
+        loaded[path] = special, P.PieceTable(value)
+    return loaded[path]
 
 
 def _byte_characters() -> list[str]:

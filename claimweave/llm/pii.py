@@ -223,6 +223,7 @@ def find(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     """A row for each document: id, base and added spans as array<struct<kind, start, end>>."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("pii")
         kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
         for batch in batches:
             both = list(find_spans(batch.column(1)))
@@ -255,6 +256,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
     count = docs.columns.index("n_chars") if "n_chars" in docs.columns else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("pii")
         for batch in batches:
             columns, column = list(batch.columns), batch.column(where)
             changed = {i: redact_text(column[i].as_py(), base + added) for i, (base, added) in enumerate(find_spans(column)) if base or added}

@@ -86,6 +86,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
     """A row for each document: id, host, the measures and base_failed."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("quality_rules")
         for batch in batches:
             parts = [measures(buf, at) for _, _, buf, at in K.slices(batch.column(2))]
             found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5)]

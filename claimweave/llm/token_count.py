@@ -23,7 +23,6 @@ from . import kernels as K
 from . import pretokens as P
 
 VOCABULARY = "byte_bpe_50k.json"
-_loaded: dict[str, tuple] = {}
 
 
 def vocabulary_path(name: str = VOCABULARY) -> str:
@@ -85,10 +84,11 @@ class Merger:
 
 def _counter(path: str) -> tuple[Merger, P.PieceTable]:
     """One merger and table of counts for each worker process and vocabulary."""
-    if path not in _loaded:
+    loaded = K.cache("token_count")
+    if path not in loaded:
         merger = Merger(path)
-        _loaded[path] = merger, P.PieceTable(lambda pieces: (np.array([merger.count(p) for p in pieces], np.int32), None))
-    return _loaded[path]
+        loaded[path] = merger, P.PieceTable(lambda pieces: (np.array([merger.count(p) for p in pieces], np.int32), None))
+    return loaded[path]
 
 
 def _count_slice(table: P.PieceTable, buf: np.ndarray, at: np.ndarray) -> np.ndarray:
