@@ -11,6 +11,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 _written: dict[str, SparkSession] = {}
+#: Spark removes a statement's shuffle files when it ends; what is written needs them no more.
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -26,7 +28,12 @@ def write(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a new folder and reads it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    before = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     _written[path] = spark
