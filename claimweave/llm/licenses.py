@@ -114,8 +114,11 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     best = F.rank().over(Window.partitionBy(*keys, "block").orderBy(F.col("containment").desc()))
     found = met.withColumn("_rank", best).where("_rank = 1").groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     base = keyed
+    # One pass that looks at no word's edges tells nearly all texts; only the others are counted phrase by phrase.
+    some = "(?i)" + "|".join(_GAP.join(map(re.escape, phrase.split())) for phrase, _ in PHRASES)
+    base = base.withColumn("_some", F.col("_text").rlike(some))
     for k, (phrase, _) in enumerate(PHRASES):
-        base = base.withColumn(f"_n{k}", F.regexp_count("_text", F.lit(phrase_pattern(phrase))))
+        base = base.withColumn(f"_n{k}", F.when(F.col("_some"), F.regexp_count("_text", F.lit(phrase_pattern(phrase)))).otherwise(0))
     n_base = sum((F.col(f"_n{k}") for k in range(1, len(PHRASES))), F.col("_n0"))
     own = F.when(n_base > 0, words(F.col("_text")))
     starts = F.when(F.col("_words").isNotNull(), F.concat(*[phrase_starts(F.col("_words"), p) for p, _ in PHRASES]))
