@@ -35,7 +35,7 @@ from .suffix_runs import DEPTH, runs, window_hashes_at
 #: Documents in the sample, and the share of them from which an anchor counts as common.
 SAMPLE_DOCUMENTS, COMMON_SHARE = 2000, 0.02
 #: Runs that a task holds before it deals them out, and buckets for each shuffle partition.
-HELD_RUNS, BUCKETS_PER_PARTITION = 1 << 21, 8
+HELD_RUNS, BUCKETS_PER_PARTITION = 1 << 19, 8
 _FIELDS = (("key", np.uint64), ("context", np.uint64), ("doc", np.int64), ("start", np.int64), ("more", np.int32))
 
 
@@ -154,6 +154,7 @@ def first_pass(rows: DataFrame, common: np.ndarray, partitions: int) -> DataFram
                     total = 0
         if held:
             yield from flush()
+        pa.default_memory_pool().release_unused()
 
     def order(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["kind", "doc", "start", "end", "key"]
@@ -180,7 +181,8 @@ def first_pass(rows: DataFrame, common: np.ndarray, partitions: int) -> DataFram
 
         now, blobs = None, []
         for batch in batches:
-            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for bucket, blob in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+                blob = blob.as_buffer().to_pybytes()
                 if bucket >= buckets:
                     _, _, d, s, m = _unpack(blob, _FIELDS)
                     yield batch_of(0, d, s, s + m, np.zeros(len(d), np.int64))
@@ -192,6 +194,7 @@ def first_pass(rows: DataFrame, common: np.ndarray, partitions: int) -> DataFram
                 blobs.append(blob)
         if blobs:
             yield from solve(blobs)
+        pa.default_memory_pool().release_unused()
 
     dealt = rows.mapInArrow(deal, "bucket int, blob binary")
     return dealt.repartition(partitions, "bucket").sortWithinPartitions("bucket").mapInArrow(order, "kind int, doc long, start long, end long, key long")
@@ -228,7 +231,7 @@ def last_pass(rows: DataFrame, left: DataFrame) -> DataFrame:
 
         for batch in batches:
             held.append(batch)
-            if sum(len(b) for b in held) >= 100_000:
+            if sum(len(b) for b in held) >= 50_000:
                 table = pa.Table.from_batches(held)
                 key = table["key"].to_numpy()
                 cut = int(np.searchsorted(key, key[-1]))  # the last key may go on
@@ -237,6 +240,7 @@ def last_pass(rows: DataFrame, left: DataFrame) -> DataFrame:
                     held = table.slice(cut).to_batches()
         if held:
             yield from emit(pa.Table.from_batches(held))
+        pa.default_memory_pool().release_unused()
 
     sorted_ = content.repartition("key").sortWithinPartitions("key")
     return sorted_.mapInArrow(run, "doc long, start long, end long")
@@ -291,17 +295,23 @@ def remove(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", with
     listed = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        K.cache("suffix_dedup")
+        names = ["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"]
         for batch in batches:
-            out: list[list] = [[] for _ in range(6)]
-            for text, spans in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                raw = (text or "").encode()
-                kept, own = _cut(raw, spans or [])
-                for c, v in zip(out, (len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest(), kept, [{"start": a, "end": b} for a, b in own]), strict=True):
-                    c.append(v)
-            columns = [batch.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
-            if with_bytes:
-                columns += [pa.array(out[4], pa.binary()), pa.array(out[5], listed)]
-            yield pa.RecordBatch.from_arrays(columns, names=["id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept", "removed"][: len(columns)])
+            for lo in range(0, len(batch), 256):  # so that few texts are held as Python objects
+                part = batch.slice(lo, 256)
+                out: list[list] = [[] for _ in names[1:]]
+                for text, spans in zip(part.column(1), part.column(2), strict=True):
+                    raw = text.as_buffer().to_pybytes() if text.is_valid else b""
+                    kept, own = _cut(raw, spans.as_py() or [])
+                    found = (len(raw), len(raw) - len(kept), len(own), hashlib.sha256(kept).hexdigest())
+                    for c, v in zip(out, (*found, kept, [{"start": a, "end": b} for a, b in own]) if with_bytes else found, strict=False):
+                        c.append(v)
+                columns = [part.column(0), *(pa.array(c, pa.int64()) for c in out[:3]), pa.array(out[3], pa.string())]
+                if with_bytes:
+                    columns += [pa.array(out[4], pa.binary()), pa.array(out[5], listed)]
+                yield pa.RecordBatch.from_arrays(columns, names=names[: len(columns)])
+        pa.default_memory_pool().release_unused()
 
     result = joined.mapInArrow(run, f"id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string{extra}")
     return result.withColumnRenamed("id", id_col)
