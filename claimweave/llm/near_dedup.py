@@ -1,6 +1,6 @@
 """Operator 6: near-duplicates by circulant MinHash.
 
-A document's set is its distinct 2-word shingles. One permutation places shingles on a ring of 2^20
+A document's set is its distinct shingles of SHINGLE words, or of as many as the caller asks for. One permutation places shingles on a ring of 2^20
 places, a second one gives each place a value; the k-th signature coordinate is the smallest value after
 the ring is turned by k places, so two permutations generate all coordinates. BANDS bands of ROWS
 coordinates make candidates: a pair of similarity 0.8 misses all bands with probability below 3e-7.
@@ -30,11 +30,12 @@ from .components import components
 from .quality_rules import window_hashes
 
 BANDS, ROWS, RING_BITS, ROUNDS = 50, 6, 20, 3
+SHINGLE = 2
 CLASS_STEP = 1.05
 PERCENT = 80
 
 
-def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int = 2) -> tuple[np.ndarray, np.ndarray]:
+def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
     """(distinct shingle hashes, offsets): each text's set, sorted. With fewer words, all of them are one shingle."""
     n = len(at) - 1
     buf = K.FOLD[buf]
@@ -90,14 +91,14 @@ def band_keys(signature: np.ndarray, bands: int = BANDS) -> np.ndarray:
     return out
 
 
-def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """(id, n, s1, s2, bands) of each document: its set's size and two sums that identify the set, and its band keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
         for batch in batches:
             for lo, hi, buf, at in K.slices(batch.column(1)):
-                sets, off = shingle_sets(buf, at)
+                sets, off = shingle_sets(buf, at, size)
                 n = np.diff(off)
                 sums = []
                 for salt in (1, 2):
@@ -115,14 +116,14 @@ def sketch(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return docs.select(id_col, text_col).mapInArrow(run, f"id {kind}, n long, s1 long, s2 long, bands array<bigint>")
 
 
-def full_sets(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) -> DataFrame:
     """(id, n, items) with a document's sorted shingle hashes as bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
         for batch in batches:
             for lo, hi, buf, at in K.slices(batch.column(1)):
-                sets, off = shingle_sets(buf, at)
+                sets, off = shingle_sets(buf, at, size)
                 raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(sets)])
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(lo, hi - lo), pa.array(np.diff(off)), raw], names=["id", "n", "items"])
 
@@ -211,9 +212,9 @@ def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
-def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """A row for each document: id, n_shingles, component_id, kept."""
-    sketched = store.write(sketch(docs, id_col, text_col), "sketch")
+def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
+    """A row for each document: id, n_shingles, component_id, kept. Shingles have `size` words."""
+    sketched = store.write(sketch(docs, id_col, text_col, size), "sketch")
     whole = ["n", "s1", "s2"]
     classes = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy(*whole).agg(F.min("id").alias("rep"))
     members = store.write(sketched.select("id", *whole).join(classes, whole, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
@@ -223,7 +224,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     buckets = store.write(rows.join(shared, "key").distinct(), "buckets")
     ids = buckets.select(F.col("id").alias("_id")).distinct()
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
-    sets = store.write(full_sets(chosen, "id", "text").dropDuplicates(["id", "n", "items"]), "sets")
+    sets = store.write(full_sets(chosen, "id", "text", size).dropDuplicates(["id", "n", "items"]), "sets")
     store.drop(sketched)
     labels = buckets.select("id").distinct().withColumn("component", F.col("id"))
     every, open_ = None, buckets.withColumn("component", F.col("id"))
@@ -256,7 +257,7 @@ def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Dat
     return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """The rows of docs that stay when one document of each component does, with all their columns."""
-    gone = store.write(link(docs, id_col, text_col).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
+    gone = store.write(link(docs, id_col, text_col, size).where(~F.col("kept")).select(F.col(id_col).alias("_gone")).distinct(), "gone")
     return docs.join(gone, docs[id_col] == gone["_gone"], "left_anti")

@@ -54,7 +54,7 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The near-duplicate component of every document."""
-    return near_dedup.link(documents(spark, sf_dir))
+    return near_dedup.link(documents(spark, sf_dir), size=2)
 
 
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:

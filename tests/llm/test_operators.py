@@ -290,6 +290,41 @@ def test_what_leaders_leave_is_found(spark, monkeypatch):
     assert [got[i].component_id for i in range(80)] == [c for _, c, _ in components(made)]
 
 
+def least_similar(texts, size):
+    """The least index that each text is linked with, by brute force over shingles of `size` words."""
+    words = [WORD.findall((t or "").lower()) for t in texts]
+    sets = [{tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set() for w in words]
+    least = list(range(len(texts)))
+    for _ in texts:
+        for a in range(len(sets)):
+            for b in range(len(sets)):
+                if sets[a] and sets[b] and 100 * len(sets[a] & sets[b]) >= 80 * len(sets[a] | sets[b]):
+                    least[a] = least[b] = min(least[a], least[b])
+    return [(len(s), least[i]) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("size", [2, 5])
+def test_near_dedup_by_shingle_size(spark, tmp_path, size):
+    import corpus_pipeline
+
+    rng = random.Random(11)
+    base = [f"w{rng.randrange(5000)}" for _ in range(200)]
+    made = [" ".join(base), None, "", "one", "one", "a b c d", "a b c d", "a b c e"]
+    for k in (2, 4, 6, 8, 20):  # scattered edits: 1, 2, 3, 4 and 10 percent of the words
+        made.append(" ".join(f"x{k}y{i}" if i % (200 // k) == 7 else w for i, w in enumerate(base)))
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    want = least_similar(made, size)
+    got = by_id(near_dedup.link(df, size=size))
+    assert [(got[i].n_shingles, got[i].component_id) for i in range(len(made))] == want
+    kept = [i for i, (_, c) in enumerate(want) if c == i]
+    assert sorted(r.doc_id for r in near_dedup.keep_one(df, size=size).collect()) == kept
+    df.write.parquet(str(tmp_path / "documents.parquet"))
+    if size == 5:
+        assert sorted(r.doc_id for r in corpus_pipeline.near_duplicates(spark, df, str(tmp_path)).collect()) == kept and len(kept) > len({c for _, c in least_similar(made, 2)})
+    else:
+        assert by_id(queries.op6_near_dedup(spark, str(tmp_path))) == got
+
+
 def test_circulant_coordinates():
     sets = [np.arange(5, dtype=np.uint64), np.arange(3000, dtype=np.uint64)]
     offsets = np.array([0, 5, 3005])
