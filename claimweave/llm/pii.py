@@ -11,7 +11,9 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import functools
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -119,7 +121,31 @@ def plain_character(c: str) -> str:
     return c
 
 
+@functools.cache
+def rewritten() -> np.ndarray:
+    """For each code point whether plain_character changes it."""
+    out = np.zeros(sys.maxunicode + 1, bool)
+    out[[c for c in range(128, len(out)) if not 0xD800 <= c < 0xE000 and plain_character(chr(c)) != chr(c)]] = True
+    return out
+
+
+def _odd_characters(buf: np.ndarray) -> np.ndarray:
+    """True at the first byte of each character that plain_character changes."""
+    out = np.zeros(len(buf), bool)
+    at = np.flatnonzero(buf >= 0xC2)
+    if len(at):
+        tail = np.append(buf, np.zeros(3, np.uint8))
+        lead, b, c, d = (tail[at + k].astype(np.int64) for k in range(4))
+        two, three = (lead & 0x1F) << 6 | b & 0x3F, (lead & 0x0F) << 12 | (b & 0x3F) << 6 | c & 0x3F
+        four = (lead & 0x07) << 18 | (b & 0x3F) << 12 | (c & 0x3F) << 6 | d & 0x3F
+        code = np.where(lead < 0xE0, two, np.where(lead < 0xF0, three, four))
+        out[at] = rewritten()[np.minimum(code, sys.maxunicode)]
+    return out
+
+
 def homoglyphs(m: Mapped) -> None:
+    if m.text.isascii():
+        return
     m.rewrite([(i, i + 1, p) for i, c in enumerate(m.text) if not c.isascii() and (p := plain_character(c)) != c])
 
 
@@ -177,8 +203,7 @@ def _suspicious(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
     """Texts of a slice that may have base spans, and texts that a transducer may change."""
     digit = (buf >= 0x30) & (buf <= 0x39)
     base = K.per_text(at, digit | (buf == 0x40)) > 0
-    odd = (buf >= 0xCC) & (buf != 0xE3)
-    odd |= (buf == 0xC2) & np.append(np.isin(buf[1:], (0xAD, 0xB2, 0xB3, 0xB7, 0xB9)), False)
+    odd = _odd_characters(buf)
     bracket = np.isin(buf, np.frombuffer(b"[({<", np.uint8))
     low = buf | 0x20
     dot = np.zeros(len(buf), bool)

@@ -200,6 +200,26 @@ def test_disguises(text, found):
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in added] == found
 
 
+def test_no_character_that_is_rewritten_is_passed_over():
+    own = [chr(c) for c in range(128, 0x110000) if not 0xD800 <= c < 0xE000]
+    for k in range(0, len(own), 1 << 16):
+        part = own[k : k + (1 << 16)]
+        for lo, hi, buf, at in kernels.slices(pa.array(part)):
+            assert pii._suspicious(buf, at)[1].tolist() == [pii.plain_character(c) != c for c in part[lo:hi]]
+
+
+@pytest.mark.parametrize(
+    ("text", "kind"),
+    [
+        ("bob@example。com", "email"), ("4111\u00a01111\u00a01111\u00a01111", "card"), ("4111\u30001111\u30001111\u30001111", "card"), ("+1\u00a0555\u00a0010\u00a09999", "phone"),
+        ("bob@ex\u00aample.\u00baom.\u1d9cx", "email"), ("bob@\u017fite.com", "email"),
+    ],
+)
+def test_look_alikes_are_found_without_company(text, kind):
+    (_, alone), (_, beside) = pii.find_spans(pa.array([text, text + " (α)"]))
+    assert alone == beside == [(pii.KINDS.index(kind), 0, len(text))]
+
+
 def test_pii_query_and_redaction(spark, docs, empty, texts, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = by_id(queries.op4_pii(spark, str(tmp_path)))
