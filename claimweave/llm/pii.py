@@ -2,8 +2,12 @@
 
 Base detectors run on the text as it is. Transducers then rewrite a text - look-alike characters,
 spelled digits, at/dot disguises - and keep for each character of the result the source characters it
-stands for; the detectors run on the result and their spans are mapped back. A mapped span that overlaps
-a span found before is not added.
+stands for; the detectors run on what each of them gives and their spans are mapped back. A mapped span that
+overlaps a base span is not added, nor is one that overlaps a span of a later transducer.
+
+At and dot may be spoken, in brackets or plain in any mixture, but one dot has to be disguised: a spoken at
+before plain dots ("look at example.com", "at 3.5") is no address. Digits and spelled digits count alike;
+the detectors decide whether they make a number.
 
 Defined results: null and empty texts have no spans; repeated rows give a row each; an empty table gives
 an empty result; other columns are ignored, whatever their names.
@@ -39,17 +43,18 @@ LOOK_ALIKE = {
     "А": "A", "В": "B", "С": "C", "Е": "E", "Н": "H", "І": "I", "К": "K", "М": "M", "О": "O", "Р": "P", "Т": "T", "Х": "X",
     "α": "a", "ε": "e", "ι": "i", "κ": "k", "ν": "v", "ο": "o", "ρ": "p", "τ": "t", "υ": "u", "χ": "x", "‐": "-", "‑": "-", "–": "-", "․": ".", "。": ".", "·": ".",
 }
+_SPOKEN_WORDS = (*SPELLED, "point")
 INVISIBLE = {"​", "‌", "‍", "⁠", "﻿", "­"}
-#: Spelled digits that a run must have to be read as a number.
-LEAST_SPELLED = 4
+#: Digits that the shortest number (an IP) has.
+LEAST_DIGITS = 4
 
 _AT_DOT = re.compile(r"\s*(?:\[\s*(?P<a>at|dot|@|\.)\s*\]|\(\s*(?P<b>at|dot|@|\.)\s*\)|\{\s*(?P<c>at|dot|@|\.)\s*\}|<\s*(?P<d>at|dot|@|\.)\s*>)\s*", re.I)
-_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+)([A-Za-z0-9-]+)((?:\s+dot\s+[A-Za-z0-9-]+)+)", re.I)
-_SPOKEN_DOT = re.compile(r"\s+dot\s+", re.I)
-_SPELLED_RUN = re.compile(r"(?<!\w)(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]+)(?:[\s,-]+|(?=[.]))?(?:(?:dot|point)\s+|[.]\s*)?)+(?!\w)", re.I)
+_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+)", re.I)
+_SPOKEN_DOT = re.compile(r"\s+dot\s+|\.", re.I)
+_SPELLED_RUN = re.compile(r"(?<!\w)(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]++)(?:[\s,-]+|(?=[.]))?(?:(?:dot|point)\s+|[.]\s*)?)+(?!\w)", re.I)
 _SPELLED_WORD = re.compile(r"zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]|\.", re.I)
 _PLUS = re.compile(r"(?:\+|(?<!\w)plus)\s*\Z", re.I)
-_WORDS = re.compile(r"(?<![A-Za-z])(?:zero|oh|one|two|three|four|five|six|seven|eight|nine)(?![A-Za-z])", re.I)
+_LETTER = re.compile(r"[A-Za-z]")
 
 
 def luhn(digits: bytes) -> bool:
@@ -91,10 +96,13 @@ class Mapped:
     """A text under rewriting: its characters, and for each the source characters [lo, hi) that it stands for."""
 
     def __init__(self, text: str):
+        self.source = text
         self.text, self.lo, self.hi = text, list(range(len(text))), list(range(1, len(text) + 1))
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces text[start:end] by a string for each edit; edits are in order and do not overlap."""
+        if not edits:
+            return
         parts, lo, hi, last = [], [], [], 0
         for start, end, new in edits:
             parts += [self.text[last:start], new]
@@ -151,21 +159,26 @@ def homoglyphs(m: Mapped) -> None:
 
 def at_and_dot(m: Mapped) -> None:
     edits = []
-    for x in _AT_DOT.finditer(m.text):
+    for x in _AT_DOT.finditer(m.text) if any(c in m.text for c in "[({<") else ():
         word = next(g for g in x.groups() if g).lower()
         edits.append((x.start(), x.end(), "@" if word in ("at", "@") else "."))
     m.rewrite(edits)
+    if m.text == m.source and "dot" not in m.text.lower():
+        return
     edits = []
     for x in _SPOKEN.finditer(m.text):
+        dots = [(x.start(4) + d.start(), x.start(4) + d.end()) for d in _SPOKEN_DOT.finditer(x[4])]
+        if all(m.source[m.lo[a] : m.hi[b - 1]] == "." for a, b in dots):
+            continue
         edits.append((x.start(2), x.end(2), "@"))
-        edits += [(x.start(4) + d.start(), x.start(4) + d.end(), ".") for d in _SPOKEN_DOT.finditer(x[4])]
+        edits += [(a, b, ".") for a, b in dots]
     m.rewrite(edits)
 
 
 def spelled_digits(m: Mapped) -> None:
     edits = []
     for x in _SPELLED_RUN.finditer(m.text):
-        if len(_WORDS.findall(x[0])) < LEAST_SPELLED:
+        if not _LETTER.search(x[0]):  # digits alone are no disguise
             continue
         found = list(_SPELLED_WORD.finditer(x[0]))
         first = x.start()
@@ -181,22 +194,31 @@ def spelled_digits(m: Mapped) -> None:
     m.rewrite(edits)
 
 
-def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans (kind's index, start, end in code points) that show after rewriting and overlap none of `base`."""
-    m = Mapped(text)
-    homoglyphs(m)
-    at_and_dot(m)
-    spelled_digits(m)
-    if m.text == text:
-        return []
+def _shown(m: Mapped, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans of the text as it is rewritten so far, in code points of the source, that overlap none of `base`."""
     raw = m.text.encode("utf-8", "surrogatepass")
+    found = detect(raw)
+    if not found:
+        return []
     place = np.cumsum(K.code_points(np.frombuffer(raw, np.uint8))) - 1
-    out = []
-    for kind, lo, hi in sorted(detect(raw)):
-        start, end = m.lo[int(place[lo])], m.hi[int(place[hi - 1])]
-        if not any(start < e and s < end for _, s, e in base):
-            out.append((kind, start, end))
-    return out
+    spans = [(kind, m.lo[int(place[lo])], m.hi[int(place[hi - 1])]) for kind, lo, hi in found]
+    return [x for x in spans if not _overlaps(x, base)]
+
+
+def _overlaps(span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
+    return any(span[1] < e and s < span[2] for _, s, e in others)
+
+
+def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Spans (kind's index, start, end in code points) that show after rewriting and overlap none of `base`."""
+    m, out = Mapped(text), []
+    for rewrite in (homoglyphs, at_and_dot, spelled_digits):
+        before = m.text
+        rewrite(m)
+        if m.text != before:  # what a later rewriting hides stays found
+            own = _shown(m, base)
+            out = own + [x for x in out if not _overlaps(x, own)]
+    return sorted(out)
 
 
 def _suspicious(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -211,13 +233,17 @@ def _suspicious(buf: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray
         dot[:-2] = (low[:-2] == ord("d")) & (low[1:-1] == ord("o")) & (low[2:] == ord("t"))
     letter = (low >= 0x61) & (low <= 0x7A)
     starts, ends = K.word_spans(buf, at, letter)
-    short = (ends - starts >= 2) & (ends - starts <= 5)
-    starts, ends = starts[short], ends[short]
-    known = np.sort(np.array([_word_hash(w) for w in SPELLED], np.uint64))
-    h = K.span_hashes(np.where(letter, low, buf).astype(np.uint8), starts, ends)
-    spot = np.minimum(np.searchsorted(known, h), len(known) - 1)
-    hit = starts[known[spot] == h]
-    spelled = np.bincount(np.searchsorted(at, hit, side="right") - 1, minlength=len(at) - 1) >= LEAST_SPELLED
+    folded = np.where(letter, low, buf).astype(np.uint8)
+    # Words that begin like a spelled digit, also those run together; each spelled digit has two letters at least.
+    hit = np.zeros(len(starts), bool)
+    for n in sorted({len(w) for w in _SPOKEN_WORDS}):
+        known = np.sort(np.array([_word_hash(w) for w in _SPOKEN_WORDS if len(w) == n], np.uint64))
+        own = np.flatnonzero(ends - starts >= n)
+        h = K.span_hashes(folded, starts[own], starts[own] + n)
+        hit[own] |= known[np.minimum(np.searchsorted(known, h), len(known) - 1)] == h
+    text = np.searchsorted(at, starts[hit], side="right") - 1
+    words = np.bincount(text, weights=(ends - starts)[hit] // 2, minlength=len(at) - 1)
+    spelled = (words > 0) & (words + K.per_text(at, digit) >= LEAST_DIGITS)
     return base, (K.per_text(at, odd | bracket | dot) > 0) | spelled
 
 

@@ -220,6 +220,23 @@ def test_look_alikes_are_found_without_company(text, kind):
     assert alone == beside == [(pii.KINDS.index(kind), 0, len(text))]
 
 
+@pytest.mark.parametrize(
+    ("text", "found"),
+    [
+        ("ip 192 dot 168 dot 0 dot 1 ok", [("ip", "192 dot 168 dot 0 dot 1")]), ("ip 192 point 168 point 0 point 1 ok", [("ip", "192 point 168 point 0 point 1")]), ("ip 192.168.zero.1 ok", [("ip", "192.168.zero.1")]),
+        ("call +1 555 one two three 4567 now", [("phone", "+1 555 one two three 4567")]), ("call +1 (555) 010 nine nine 99 now", [("phone", "+1 (555) 010 nine nine 99")]), ("call +fourfourtwozerosevenninefoursixzero", [("phone", "+fourfourtwozerosevenninefoursixzero")]),
+        ("card 4111 one one one one 1111 1 one 11 ok", [("card", "4111 one one one one 1111 1 one 11")]),
+        ("to john [at] example dot com now", [("email", "john [at] example dot com")]), ("to john@example dot com now", [("email", "john@example dot com")]), ("to john at example [dot] com now", [("email", "john at example [dot] com")]),
+        ("to john at mail.example dot com now", [("email", "john at mail.example dot com")]), ("to john @ example dot com now", [("email", "john @ example dot com")]), ("to john at example。com now", [("email", "john at example。com")]), ("to john (at) example.com now", [("email", "john (at) example.com")]),
+        ("one ４１１１ １１１１ １１１１ １１１１", [("card", "４１１１ １１１１ １１１１ １１１１")]),
+        ("look at example.com (here), it grew at 3.5 in one or two years", []), ("at 1, 2, 3, 4 (one) of 5", []), ("1" * 60 + "a one 22", []),
+    ],
+)
+def test_mixed_disguises(text, found):
+    _, added = next(pii.find_spans(pa.array([text])))
+    assert [(pii.KINDS[k], text[s:e]) for k, s, e in added] == found
+
+
 def test_pii_query_and_redaction(spark, docs, empty, texts, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = by_id(queries.op4_pii(spark, str(tmp_path)))
