@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -178,20 +179,24 @@ def _runs(sorted_: list[int]) -> Iterator[list[int]]:
         yield run
 
 
+def _held(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[Broadcast]:
+    """The benchmark's blocks (ids, texts) for the workers."""
+    total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
+    blocks = max(1, -(-total // BLOCK_BYTES))
+    for b in range(blocks):
+        rows = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == b).select(item_col, item_text).collect()
+        yield benchmark.sparkSession.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+
+
 def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
     """A row for each document and item found in it: id, item, n_windows, n_item_windows, longest_run, n_slots.
 
     The benchmark is held in blocks of BLOCK_BYTES; each block takes one pass over the documents.
     """
-    spark = docs.sparkSession
-    total = benchmark.agg(F.sum(F.octet_length(item_text))).first()[0] or 0
-    blocks = max(1, -(-total // BLOCK_BYTES))
     kinds = [docs.schema[id_col].dataType.simpleString(), benchmark.schema[item_col].dataType.simpleString()]
     names = ["_doc", "_item", "n_windows", "n_item_windows", "longest_run", "n_slots"]
     out = None
-    for b in range(blocks):
-        rows = benchmark.where(F.pmod(F.xxhash64(item_col, item_text), F.lit(blocks)) == b).select(item_col, item_text).collect()
-        held = spark.sparkContext.broadcast(([r[0] for r in rows], [r[1] for r in rows]))
+    for held in _held(benchmark, item_col, item_text):
 
         def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
             K.cache("decontamination")
@@ -210,9 +215,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     return out.withColumnsRenamed({"_doc": id_col, "_item": item_col})
 
 
-def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs in which no item is found, with all their columns."""
-    from . import store
+def keep_clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no item is found, with all their columns. Each row goes by its own text, whatever its id."""
+    where = docs.columns.index(text_col)
+    for held in _held(benchmark, item_col, item_text):
+
+        def run(batches: Iterator[pa.RecordBatch], held=held) -> Iterator[pa.RecordBatch]:
+            K.cache("decontamination")
+            items = Benchmark(*held.value)
+            for batch in batches:
+                clean = np.ones(len(batch), bool)
+                for lo, _, buf, at in K.slices(batch.column(where)):
+                    clean[[lo + f[0] for f in items.search(buf, at)]] = False
+                yield batch.filter(pa.array(clean))
 
-    leaks = store.write(find_leaks(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("_leak")).distinct(), "leaks")
-    return docs.join(leaks, docs[id_col] == leaks["_leak"], "left_anti")
+        docs = docs.mapInArrow(run, docs.schema)
+    return docs

@@ -449,6 +449,15 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_leaks(empty, items).count() == 0 and decontamination.find_leaks(df, items.where("false")).count() == 0
 
 
+@pytest.mark.parametrize("block", [40, 8 << 20])
+def test_rows_without_an_id_are_cleaned_too(spark, monkeypatch, block):
+    monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
+    items = spark.createDataFrame(ITEMS, "item_id long, text string")
+    rows = [(None, ITEMS[0][1], "a"), (None, "a clean row", "b"), (1, ITEMS[1][1], "c"), (2, None, "d")]
+    kept = decontamination.keep_clean(spark.createDataFrame(rows, "doc_id long, text string, _leak string"), items)
+    assert kept.columns == ["doc_id", "text", "_leak"] and sorted(r._leak for r in kept.collect()) == ["b", "d"]
+
+
 def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     items = spark.createDataFrame(ITEMS, "item_id long, text string")
     df = spark.createDataFrame([(i, t) for i, t in ITEMS], "doc_id long, text string")
