@@ -4,8 +4,8 @@ Blocks are the lines of a text; a block's set is its words. Words are ordered by
 them, rarest first. A template is found in a block that holds at least `threshold` of its words; by the
 prefix filter such a block shares one of the template's first words in that order, by the length filter
 it has enough words, by the positional filter enough are left after the shared one. What is left is
-verified on whole sets; a block that meets several templates gets the labels of those it holds the largest
-share of. Base phrases are counted beside that. DataFrame functions only.
+verified on whole sets; a block gets the labels of all templates it meets, save one whose words in the block
+are all words of a rival that the block holds a larger share of (gpl-2 beside gpl-3). Base phrases are counted beside that. DataFrame functions only.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows give a row
 each; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -18,7 +18,6 @@ import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
 from . import store
 
@@ -75,6 +74,16 @@ def block_hits(docs: DataFrame, keys: list[str], text_col: str, vocabulary: list
     return hits.where(F.size("hits") > 0)
 
 
+def rivals(sets: list[list[str]], threshold: float) -> list[list[list[str]]]:
+    """For each template's words those of the others that share enough of them to meet it alone."""
+    return [[r for j, r in enumerate(sets) if j != k and len(set(own) & set(r)) >= math.ceil(round(threshold * len(own), 9))] for k, own in enumerate(sets)]
+
+
+def outdone(held: Column, share: Column, others: Column, near: Column) -> Column:
+    """Whether all words held are words of one of the others, of which `near` holds a larger share."""
+    return F.exists(others, lambda r: (F.size(F.array_except(held, r)) == 0) & (F.size(F.array_intersect(r, near)) / F.size(r) > share))
+
+
 def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(keys, block, template, label, containment) of every block and template that meet the threshold."""
     spark = hits.sparkSession
@@ -89,7 +98,8 @@ def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str,
         whole.append((k, label, need, ranked))
         index += [(w, k, i, len(own), need) for i, w in enumerate(ranked[: len(own) - need + 1])]
     prefixes = spark.createDataFrame(index, "word string, template int, at int, size int, need int")
-    whole_sets = spark.createDataFrame(whole, "template int, label string, _need int, words array<string>")
+    whole = [(*x, y) for x, y in zip(whole, rivals(sets, threshold), strict=True)]
+    whole_sets = spark.createDataFrame(whole, "template int, label string, _need int, words array<string>, rivals array<array<string>>")
     least = min(x[2] for x in whole)
     rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
     ranked = hits.where(F.size("hits") >= least).withColumn("hits", F.transform(F.array_sort(F.transform("hits", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
@@ -99,6 +109,8 @@ def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str,
     near = near.dropDuplicates([*keys, "block", "template"])
     shared = F.size(F.array_intersect("hits", "words"))
     exact = near.join(whole_sets, "template").withColumn("_shared", shared).where(F.col("_shared") >= F.col("_need"))
+    held = F.array_intersect("hits", "words")
+    exact = exact.where(~outdone(held, F.col("_shared") / F.size("words"), F.col("rivals"), F.col("hits")))
     return exact.select(*keys, "block", "template", "label", (F.col("_shared") / F.size("words")).alias("containment"))
 
 
@@ -111,8 +123,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     keys = ["_id", "_hash", "_bytes"]
     hits = store.write(block_hits(keyed, keys, "_text", vocabulary), "blocks")
     met = join_templates(hits, keys, templates, threshold)
-    best = F.rank().over(Window.partitionBy(*keys, "block").orderBy(F.col("containment").desc()))
-    found = met.withColumn("_rank", best).where("_rank = 1").groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    found = met.groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     base = keyed
     # One pass that looks at no word's edges tells nearly all texts; only the others are counted phrase by phrase.
     some = "(?i)" + "|".join(_GAP.join(map(re.escape, phrase.split())) for phrase, _ in PHRASES)
