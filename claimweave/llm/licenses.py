@@ -1,6 +1,7 @@
 """Operator 9 [native]: license scan by an exact set-similarity join.
 
-Blocks are the lines of a text; a block's set is its words. Words are ordered by how many blocks have
+Blocks are the lines of a text and, for notices broken over lines, its windows of as many words as a template
+has (see wrapped); a block's set is its words. Words are ordered by how many blocks have
 them, rarest first. A template is found in a block that holds at least `threshold` of its words; by the
 prefix filter such a block shares one of the template's first words in that order, by the length filter
 it has enough words, by the positional filter enough are left after the shared one. What is left is
@@ -114,6 +115,34 @@ def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str,
     return exact.select(*keys, "block", "template", "label", (F.col("_shared") / F.size("words")).alias("containment"))
 
 
+def wrapped(docs: DataFrame, keys: list[str], text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """(keys, label, containment) of every template that a window of words meets, in texts of several lines.
+
+    A window has as many words as the template and begins at one of its words. Only texts that hold enough of a
+    template's words anywhere are searched for it; a rival outdoes it by words up to a longest template away.
+    """
+    sets = [sorted(set(t.split())) for t, _ in templates]
+    reach = max(len(t.split()) for t, _ in templates)
+    rows = [(label, own, math.ceil(round(threshold * len(own), 9)), len(t.split()), r) for (t, label), own, r in zip(templates, sets, rivals(sets, threshold), strict=True)]
+    kind = "label string, words array<string>, need int, length int, rivals array<array<string>>"
+    every = F.array(*[
+        F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, b)).alias("words"), F.lit(c).alias("need"), F.lit(d).alias("length"), F.array(*[F.array(*map(F.lit, x)) for x in e]).cast("array<array<string>>").alias("rivals"))
+        for a, b, c, d, e in rows
+    ]).cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in kind.split(', '))}>>")
+    vocabulary = F.array(*[F.lit(w) for w in sorted({w for x in sets for w in x})])
+    own = docs.where(F.contains(F.col(text_col), F.lit("\n"))).select(*keys, words(F.col(text_col)).alias("_w"))
+    own = own.select(*keys, "_w", F.array_intersect("_w", vocabulary).alias("_held")).where(F.size("_held") > 0)
+    own = own.select(*keys, "_w", F.explode(F.filter(every, lambda t: F.size(F.array_intersect(t["words"], F.col("_held"))) >= t["need"])).alias("_t"))
+    spots = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.array_contains(F.col("_t.words"), F.get("_w", i)))
+    window = F.transform(spots, lambda i: F.struct(
+        F.array_intersect(F.col("_t.words"), F.slice("_w", i + 1, F.col("_t.length"))).alias("held"),
+        F.slice("_w", F.greatest(i + 1 - reach, F.lit(1)), F.col("_t.length") + 2 * reach).alias("near"),
+    ))
+    share = lambda x: F.size(x["held"]) / F.size("_t.words")
+    met = F.filter(window, lambda x: (F.size(x["held"]) >= F.col("_t.need")) & ~outdone(x["held"], share(x), F.col("_t.rivals"), x["near"]))
+    return own.select(*keys, F.col("_t.label").alias("label"), F.array_max(F.transform(met, share)).alias("containment")).where("containment is not null")
+
+
 def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templates: list[tuple[str, str]] | None = None, threshold: float = 0.9) -> DataFrame:
     """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     templates = templates or TEMPLATES
@@ -123,6 +152,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     keys = ["_id", "_hash", "_bytes"]
     hits = store.write(block_hits(keyed, keys, "_text", vocabulary), "blocks")
     met = join_templates(hits, keys, templates, threshold)
+    met = met.select(*keys, "label", "containment").unionByName(wrapped(keyed, keys, "_text", templates, threshold))
     found = met.groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
     base = keyed
     # One pass that looks at no word's edges tells nearly all texts; only the others are counted phrase by phrase.

@@ -431,6 +431,22 @@ def test_license_scan(spark, docs, empty):
     assert licenses.scan(empty).count() == 0 and licenses.scan(docs.unionByName(docs)).count() == 2 * docs.count()
 
 
+def test_a_line_gets_every_notice_it_holds(spark):
+    gpl = "This work is licensed under the GNU General Public License, version "
+    bsd = "Redistribution and use in source and binary forms, with or without modification, are allowed"
+    rows = ["Released under the MIT License. " + bsd, gpl + "3", gpl + "2", gpl + "3. " + gpl + "2", bsd]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [got[i].labels for i in range(len(rows))] == ["bsd,mit", "gpl-3", "gpl-2", "gpl-2,gpl-3", "bsd"]
+
+
+def test_notices_broken_over_lines(spark):
+    mit = "Permission is hereby granted, free of charge, to any person\n obtaining a copy of this software\n# and associated documentation files"
+    gpl = "the\nThis work is licensed under the GNU General\nPublic License, version "
+    rows = [f"code\n\n{mit} (the Software)", gpl + "3\nmore", gpl + "2", "Redistribution and use in source\nand binary forms, with or without\nmodification, are allowed", "released far\nfrom what is under\nthe sun of any MIT\nstudent and a license"]
+    got = by_id(licenses.scan(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")))
+    assert [got[i].labels for i in range(len(rows))] == ["mit", "gpl-3", "gpl-2", "bsd", ""] and got[0].score == 1.0
+
+
 # --- 10 --------------------------------------------------------------------------------------------------------
 
 ITEMS = [(1, "If Tom buys 3 apples and Mary buys 12 apples at 4 dollars each, how much does Tom pay for 3 apples?"), (2, "The quick brown fox jumps over the lazy dog near a river bank today."), (3, None), (4, "two words")]
