@@ -97,7 +97,7 @@ class Mapped:
 
     def __init__(self, text: str):
         self.source = text
-        self.text, self.lo, self.hi = text, list(range(len(text))), list(range(1, len(text) + 1))
+        self.text, self.lo, self.hi = text, range(len(text)), range(1, len(text) + 1)
 
     def rewrite(self, edits: list[tuple[int, int, str]]) -> None:
         """Replaces text[start:end] by a string for each edit; edits are in order and do not overlap."""
@@ -113,7 +113,7 @@ class Mapped:
                 hi += [self.hi[end - 1]] * len(new)
             last = end
         self.text = "".join([*parts, self.text[last:]])
-        self.lo, self.hi = lo + self.lo[last:], hi + self.hi[last:]
+        self.lo, self.hi = [*lo, *self.lo[last:]], [*hi, *self.hi[last:]]
 
 
 def plain_character(c: str) -> str:
@@ -154,7 +154,9 @@ def _odd_characters(buf: np.ndarray) -> np.ndarray:
 def homoglyphs(m: Mapped) -> None:
     if m.text.isascii():
         return
-    m.rewrite([(i, i + 1, p) for i, c in enumerate(m.text) if not c.isascii() and (p := plain_character(c)) != c])
+    plain = {c: p for c in set(m.text) if not c.isascii() and (p := plain_character(c)) != c}
+    if plain:
+        m.rewrite([(x.start(), x.end(), plain[x[0]]) for x in re.finditer("[" + "".join(map(re.escape, plain)) + "]", m.text)])
 
 
 def at_and_dot(m: Mapped) -> None:
