@@ -6,6 +6,7 @@ offsets. Null texts count as empty.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -14,10 +15,6 @@ import pyarrow.compute as pc
 
 U64 = np.uint64
 SLICE_BYTES = 1 << 20
-_BASE = 0x9E3779B97F4A7C15
-_BASE_INVERSE = pow(_BASE, -1, 1 << 64)
-_powers = {"n": 0}
-_BYTE_CODES = (np.arange(1, 257, dtype=np.uint64) * U64(0xD6E8FEB86659FD93)) ^ U64(0x5851F42D4C957F2D)
 
 WHITE = np.zeros(256, bool)
 WHITE[[0x20, *range(0x09, 0x0E)]] = True
@@ -37,7 +34,7 @@ def cache(owner: str) -> dict:
     for other, held in _caches.items():
         if other != owner and held:
             held.clear()
-            pa.default_memory_pool().release_unused()
+            release()
     return _caches.setdefault(owner, {})
 
 
@@ -51,23 +48,112 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h
 
 
-def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if _powers["n"] < n:
-        size = max(n, 2 * SLICE_BYTES)
-        up, down = np.full(size, _BASE, U64), np.full(size, _BASE_INVERSE, U64)
-        up[0] = down[0] = 1
-        _powers.update(n=size, up=np.multiply.accumulate(up), down=np.multiply.accumulate(down))
-    return _powers["up"], _powers["down"]
+def loads(buf: np.ndarray) -> np.ndarray:
+    """The bytes as aligned 64-bit words, with zeros after the end; see load."""
+    room = np.zeros((len(buf) + 23) // 8, U64)
+    room.view(np.uint8)[: len(buf)] = buf
+    return room
 
 
-def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the byte strings buf[start:end]; equal strings have equal hashes anywhere."""
-    up, down = _power_tables(len(buf) + 1)
-    total = np.zeros(len(buf) + 1, U64)
-    np.cumsum(_BYTE_CODES[buf] * up[: len(buf)], out=total[1:])
-    out = (total[ends] - total[starts]) * down[starts]
-    out += (ends - starts).astype(U64) * U64(0xA24BAED4963EE407)
-    return mix(out)
+def load(words: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, little-endian, of words made by loads."""
+    spot, shift = at >> 3, ((at & 7) << 3).astype(U64)
+    return (words[spot] >> shift) | (words[spot + 1] << U64(1) << (U64(63) - shift))
+
+
+#: Spans above this many bytes are hashed block by block, then over their blocks' hashes.
+_BLOCK = 256
+_TAILS = np.array([(1 << 8 * k) - 1 for k in range(8)], U64)
+_FULL = U64(0xFFFFFFFFFFFFFFFF)
+
+
+def span_hashes(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, words: np.ndarray | None = None) -> np.ndarray:
+    """64-bit hashes of the byte strings buf[start:end]; equal strings have equal hashes anywhere.
+
+    Bytes are mixed in eight at a time by a bijection that is not linear, so strings of up to eight bytes never
+    collide with others of their length and structured ones have no common pattern to collide by.
+    """
+    words = loads(buf) if words is None else words
+    starts, size = np.asarray(starts), np.asarray(ends) - np.asarray(starts)
+    out = mix(size.astype(U64) + U64(0xA24BAED4963EE407))
+    long = np.flatnonzero(size > _BLOCK)
+    if len(long):
+        blocks = -(-size[long] // _BLOCK)
+        of = np.repeat(np.arange(len(long)), blocks)
+        lo = starts[long][of] + (np.arange(len(of)) - np.repeat(np.cumsum(blocks) - blocks, blocks)) * _BLOCK
+        inner = span_hashes(buf, lo, np.minimum(lo + _BLOCK, (starts + size)[long][of]), words)
+        edge = 8 * np.append(0, np.cumsum(blocks))
+        over = span_hashes(inner.view(np.uint8), edge[:-1], edge[1:])
+        out[long] = mix(out[long] ^ over)
+    live, done = np.flatnonzero((size > 0) & (size <= _BLOCK)), 0
+    while len(live):
+        left = size[live] - done
+        chunk = load(words, starts[live] + done)
+        chunk &= np.where(left < 8, _TAILS[np.minimum(left, 7)], _FULL)
+        out[live] = mix(out[live] ^ chunk)
+        done += 8
+        live = live[left > 8]
+    return out
+
+
+def equal_spans(a: np.ndarray, a_at: np.ndarray, b: np.ndarray, b_at: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """Whether a's `size` bytes from each place on are b's; the places' arrays come from loads."""
+    same = np.ones(len(size), bool)
+    todo, done = np.flatnonzero(size > 0), 0
+    while len(todo):
+        left = size[todo] - done
+        keep = np.where(left < 8, _TAILS[np.minimum(left, 7)], _FULL)
+        equal = ((load(a, a_at[todo] + done) ^ load(b, b_at[todo] + done)) & keep) == 0
+        same[todo[~equal]] = False
+        done += 8
+        todo = todo[equal & (left > 8)]
+    return same
+
+
+def distinct_spans(buf: np.ndarray, starts: np.ndarray, ends: np.ndarray, group: np.ndarray | None = None) -> np.ndarray:
+    """A number for each span, equal exactly for spans of equal bytes (and of one group). Hashes sort, bytes decide."""
+    n = len(starts)
+    if not n:
+        return np.zeros(0, np.int64)
+    words, size = loads(buf), ends - starts
+    h = span_hashes(buf, starts, ends, words)
+    order = np.argsort(h, kind="stable") if group is None else np.lexsort((h, group))
+    one, two = order[:-1], order[1:]
+    near = h[one] == h[two]
+    if group is not None:
+        near &= group[one] == group[two]
+    hit = np.flatnonzero(near)
+    same = (size[one[hit]] == size[two[hit]]) & equal_spans(words, starts[one[hit]], words, starts[two[hit]], np.minimum(size[one[hit]], size[two[hit]]))
+    if not same.all():  # different bytes of one hash: told apart one by one
+        known: dict = {}
+        raw = buf.tobytes()
+        return np.array([known.setdefault((0 if group is None else int(group[i]), raw[starts[i] : ends[i]]), len(known)) for i in range(n)], np.int64)
+    number = np.zeros(n, np.int64)
+    number[order] = np.cumsum(np.append(0, ~near))
+    return number
+
+
+_trim = None
+
+
+def release() -> None:
+    """Gives memory that is free inside the worker back to the system; called when a task's batches end."""
+    global _trim
+    pa.default_memory_pool().release_unused()
+    if _trim is None:
+        try:
+            _trim = ctypes.CDLL("libc.so.6").malloc_trim
+        except (OSError, AttributeError):  # another C library
+            _trim = lambda _: 0
+    _trim(0)
+
+
+def bounded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches as they come; release() when there are no more."""
+    try:
+        yield from batches
+    finally:
+        release()
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

@@ -100,8 +100,10 @@ class Growing:
         self._room, self.n = np.zeros(1024, dtype), 0
 
     def extend(self, values: np.ndarray) -> None:
-        if self.n + len(values) > len(self._room):
-            self._room = np.concatenate([self._room[: self.n], np.zeros(max(len(values), len(self._room)), self._room.dtype)])
+        if self.n + len(values) + 16 > len(self._room):
+            room = np.zeros((self.n + max(len(values), self.n) + 1024) // 8 * 8, self._room.dtype)
+            room[: self.n] = self._room[: self.n]
+            self._room = room
         self._room[self.n : self.n + len(values)] = values
         self.n += len(values)
 
@@ -109,12 +111,17 @@ class Growing:
     def array(self) -> np.ndarray:
         return self._room[: self.n]
 
+    @property
+    def words(self) -> np.ndarray:
+        """The bytes as kernels.loads gives them."""
+        return self._room.view(np.uint64)
+
 
 class PieceTable:
     """Open-addressed hash table from pieces to token sequences; when full it starts anew, so its memory is bounded.
 
     value(pieces) gives (counts, symbols of all pieces end to end or None); it is asked once for a piece
-    between two such starts.
+    between two such starts. Hashes are the keys, but a row counts for a piece only if its bytes are the piece's.
     """
 
     def __init__(self, value: Callable[[list[bytes]], tuple], bits: int = 21):
@@ -125,6 +132,21 @@ class PieceTable:
         self.keys = np.zeros(1 << self.bits, np.uint64)
         self.rows = np.zeros(1 << self.bits, np.int32)
         self.counts, self.first, self.symbols = Growing(np.int32), Growing(np.int64), Growing(np.int32)
+        self.raw, self.at, self.size = Growing(np.uint8), Growing(np.int64), Growing(np.int64)
+
+    def _add(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Rows of new pieces, without keys."""
+        pieces = [buf[s:e].tobytes() for s, e in zip(starts.tolist(), ends.tolist(), strict=True)]
+        row0, size = self.counts.n, ends - starts
+        counts, symbols = self.value(pieces)
+        self.counts.extend(counts)
+        self.at.extend(self.raw.n + np.cumsum(size) - size)
+        self.size.extend(size)
+        self.raw.extend(np.frombuffer(b"".join(pieces), np.uint8))
+        if symbols is not None:
+            self.first.extend(self.symbols.n + np.cumsum(counts) - counts)
+            self.symbols.extend(symbols)
+        return np.arange(row0, row0 + len(pieces), dtype=np.int32)
 
     def _find(self, h: np.ndarray) -> np.ndarray:
         mask = (1 << self.bits) - 1
@@ -142,7 +164,8 @@ class PieceTable:
 
     def look_up(self, buf: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """The row of each piece in `counts` and `first`; pieces not met before are added."""
-        h = K.span_hashes(buf, starts, ends) | np.uint64(1)
+        words = K.loads(buf)
+        h = K.span_hashes(buf, starts, ends, words) | np.uint64(1)
         out = self._find(h)
         missing = np.flatnonzero(out < 0)
         if len(missing):
@@ -154,15 +177,7 @@ class PieceTable:
                 self.bits += 1
                 self.clear()
                 return self.look_up(buf, starts, ends)
-            raw = buf.tobytes()
-            row0 = self.counts.n
-            at = missing[first]
-            counts, symbols = self.value([raw[s:e] for s, e in zip(starts[at].tolist(), ends[at].tolist(), strict=True)])
-            self.counts.extend(counts)
-            if symbols is not None:
-                self.first.extend(self.symbols.n + np.cumsum(counts) - counts)
-                self.symbols.extend(symbols)
-            rows = np.arange(row0, row0 + len(fresh), dtype=np.int32)
+            rows = self._add(buf, starts[missing[first]], ends[missing[first]])
             mask, at = (1 << self.bits) - 1, (fresh >> np.uint64(64 - self.bits)).astype(np.int64)
             todo = np.arange(len(fresh))
             while len(todo):
@@ -177,6 +192,13 @@ class PieceTable:
                 todo = todo[~placed[todo]]
                 at[todo] = (at[todo] + 1) & mask
             out[missing] = rows[inverse]
+        size = ends - starts
+        same = self.size.array[out] == size
+        fits = np.flatnonzero(same)
+        same[fits] = K.equal_spans(words, starts[fits], self.raw.words, self.at.array[out[fits]], size[fits])
+        other = np.flatnonzero(~same)
+        if len(other):  # other bytes of the same hash
+            out[other] = self._add(buf, starts[other], ends[other])
         return out
 
 

@@ -31,21 +31,31 @@ def window_hashes(words: np.ndarray, size: int) -> np.ndarray:
     n = len(words) - size + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.zeros(n, np.uint64)
+    out = np.full(n, size, np.uint64)
     for i in range(size):
-        out *= np.uint64(0x9E3779B97F4A7C15)
-        out += words[i : i + n]
-    return K.mix(out)
+        out = K.mix(out ^ words[i : i + n])
+    return out
 
 
-def repeated(keys: np.ndarray) -> np.ndarray:
-    """True for keys that occur twice or more."""
+def repeated_windows(number: np.ndarray, text: np.ndarray, size: int) -> np.ndarray:
+    """Where windows of `size` words start that stand twice or more in their text; equal numbers are equal words."""
+    n = len(number) - size + 1
+    if n <= 0:
+        return np.zeros(0, np.int64)
+    hit = np.flatnonzero(text[:n] == text[size - 1 :])
+    keys = window_hashes(number.astype(np.uint64), size)[hit] ^ K.mix(text[hit].astype(np.uint64))
     order = np.argsort(keys, kind="stable")
-    same = keys[order][1:] == keys[order][:-1]
-    out = np.zeros(len(keys), bool)
-    out[order[1:]] |= same
-    out[order[:-1]] |= same
-    return out
+    near = np.flatnonzero(keys[order][1:] == keys[order][:-1])
+    one, two = hit[order[near]], hit[order[near + 1]]
+    same = text[one] == text[two]
+    for i in range(size):
+        same &= number[one + i] == number[two + i]
+    if not same.all():  # different windows of one hash: told apart one by one
+        places: dict = {}
+        for k in hit.tolist():
+            places.setdefault((int(text[k]), *number[k : k + size].tolist()), []).append(k)
+        return np.array(sorted(k for v in places.values() if len(v) > 1 for k in v), np.int64)
+    return np.unique(np.concatenate([one, two]))
 
 
 def measures(buf: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
@@ -59,11 +69,7 @@ def measures(buf: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     n_words = np.bincount(text, minlength=n)
     word_chars = K.per_text(at, inside & K.code_points(buf))
     n_symbols = K.per_text(at, _SYMBOL[buf])
-    hashes = K.span_hashes(buf, starts, ends)
-    windows = window_hashes(hashes, WINDOW)
-    whole = text[: len(windows)] == text[WINDOW - 1 :] if len(windows) else np.zeros(0, bool)
-    hit = np.flatnonzero(whole)
-    hit = hit[repeated(windows[hit] ^ K.mix(text[hit].astype(np.uint64)))]
+    hit = repeated_windows(K.distinct_spans(buf, starts, ends), text, WINDOW)
     cover = np.zeros(len(starts) + 1, np.int64)
     np.add.at(cover, hit, 1)
     np.add.at(cover, hit + WINDOW, -1)
@@ -76,8 +82,7 @@ def measures(buf: np.ndarray, at: np.ndarray) -> list[np.ndarray]:
     worded = running[hi] > running[lo]
     lo, hi = lo[worded], hi[worded]
     line_text = np.searchsorted(at, lo, side="right") - 1
-    keys = K.span_hashes(buf, lo, hi) ^ K.mix(line_text.astype(np.uint64))
-    _, first = np.unique(keys, return_index=True)
+    _, first = np.unique(K.distinct_spans(buf, lo, hi, line_text), return_index=True)
     n_dup = np.bincount(line_text, minlength=n) - np.bincount(line_text[first], minlength=n)
     return [n_words, word_chars, n_symbols, n_dup, n_repeat]
 
@@ -87,7 +92,7 @@ def measure(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", hos
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("quality_rules")
-        for batch in batches:
+        for batch in K.bounded(batches):
             parts = [measures(buf, at) for _, _, buf, at in K.slices(batch.column(2))]
             found = [np.concatenate([p[i] for p in parts]) if parts else np.zeros(0, np.int64) for i in range(5)]
             failed = (found[0] < 10) | (100 * found[4] > 20 * found[0])
