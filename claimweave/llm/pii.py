@@ -15,6 +15,7 @@ an empty result; other columns are ignored, whatever their names.
 
 from __future__ import annotations
 
+import bisect
 import functools
 import re
 import sys
@@ -31,7 +32,8 @@ KINDS = ("email", "ip", "card", "phone")
 _LOCAL_BYTES = np.zeros(256, bool)
 _LOCAL_BYTES[np.frombuffer(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-", np.uint8)] = True
 _DOMAIN = re.compile(rb"@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
-_IP = re.compile(rb"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: Possessive, and begun where digits begin: the same matches in time that grows with the text.
+_IP = re.compile(rb"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(rb"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(rb"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(rb"[^0-9]+")
@@ -48,8 +50,8 @@ INVISIBLE = {"​", "‌", "‍", "⁠", "﻿", "­"}
 #: Digits that the shortest number (an IP) has.
 LEAST_DIGITS = 4
 
-_AT_DOT = re.compile(r"\s*(?:\[\s*(?P<a>at|dot|@|\.)\s*\]|\(\s*(?P<b>at|dot|@|\.)\s*\)|\{\s*(?P<c>at|dot|@|\.)\s*\}|<\s*(?P<d>at|dot|@|\.)\s*>)\s*", re.I)
-_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]+)(\s+at\s+|\s*@\s*)([A-Za-z0-9-]+)((?:(?:\s+dot\s+|\.)[A-Za-z0-9-]+)+)", re.I)
+_AT_DOT = re.compile(r"(?:\[\s*+(?P<a>at|dot|@|\.)\s*+\]|\(\s*+(?P<b>at|dot|@|\.)\s*+\)|\{\s*+(?P<c>at|dot|@|\.)\s*+\}|<\s*+(?P<d>at|dot|@|\.)\s*+>)\s*+", re.I)
+_SPOKEN = re.compile(r"(?<![\w.%+-])([A-Za-z0-9._%+-]++)(\s++at\s++|\s*+@\s*+)([A-Za-z0-9-]++)((?:(?:\s++dot\s++|\.)[A-Za-z0-9-]++)+)", re.I)
 _SPOKEN_DOT = re.compile(r"\s+dot\s+|\.", re.I)
 _SPELLED_RUN = re.compile(r"(?<!\w)(?:(?:zero|oh|one|two|three|four|five|six|seven|eight|nine|[0-9]++)(?:[\s,-]+|(?=[.]))?(?:(?:dot|point)\s+|[.]\s*)?)+(?!\w)", re.I)
 _SPELLED_WORD = re.compile(r"zero|oh|one|two|three|four|five|six|seven|eight|nine|dot|point|[0-9]|\.", re.I)
@@ -162,8 +164,10 @@ def homoglyphs(m: Mapped) -> None:
 def at_and_dot(m: Mapped) -> None:
     edits = []
     for x in _AT_DOT.finditer(m.text) if any(c in m.text for c in "[({<") else ():
-        word = next(g for g in x.groups() if g).lower()
-        edits.append((x.start(), x.end(), "@" if word in ("at", "@") else "."))
+        word, start = next(g for g in x.groups() if g).lower(), x.start()
+        while start > (edits[-1][1] if edits else 0) and m.text[start - 1].isspace():
+            start -= 1
+        edits.append((start, x.end(), "@" if word in ("at", "@") else "."))
     m.rewrite(edits)
     if m.text == m.source and "dot" not in m.text.lower():
         return
@@ -204,11 +208,26 @@ def _shown(m: Mapped, base: list[tuple[int, int, int]]) -> list[tuple[int, int,
         return []
     place = np.cumsum(K.code_points(np.frombuffer(raw, np.uint8))) - 1
     spans = [(kind, m.lo[int(place[lo])], m.hi[int(place[hi - 1])]) for kind, lo, hi in found]
-    return [x for x in spans if not _overlaps(x, base)]
+    return _apart(spans, base)
 
 
-def _overlaps(span: tuple[int, int, int], others: list[tuple[int, int, int]]) -> bool:
-    return any(span[1] < e and s < span[2] for _, s, e in others)
+def _apart(spans: list[tuple[int, int, int]], others: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """The spans that overlap none of the others."""
+    if not others:
+        return spans
+    covered: list[list[int]] = []
+    for _, s, e in sorted(others, key=lambda x: x[1]):
+        if covered and s <= covered[-1][1]:
+            covered[-1][1] = max(covered[-1][1], e)
+        else:
+            covered.append([s, e])
+    starts = [s for s, _ in covered]
+
+    def free(span: tuple[int, int, int]) -> bool:
+        k = bisect.bisect_left(starts, span[2]) - 1  # the last that begins before the span's end
+        return k < 0 or covered[k][1] <= span[1]
+
+    return [x for x in spans if free(x)]
 
 
 def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
@@ -219,7 +238,7 @@ def disguised(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, in
         rewrite(m)
         if m.text != before:  # what a later rewriting hides stays found
             own = _shown(m, base)
-            out = own + [x for x in out if not _overlaps(x, own)]
+            out = own + _apart(out, own)
     return sorted(out)
 
 
