@@ -4,7 +4,8 @@ Words are lower-cased; numbers, names (capitalised words that do not begin a sen
 one; words all in capitals are none) and units after a number become typed placeholders. Windows of WINDOW template words of a document are
 hash-joined to those of the benchmark. Hits of an item that lie on one diagonal are a candidate passage;
 there each slot value of the item must always stand for one value of the document, or the hit counts no
-further than it is consistent. An item is found if at least CONTAINMENT of its windows, or RUN words on
+further than it is consistent. Windows of placeholders alone count only beside others; an item that has no others
+is matched whole. An item is found if at least CONTAINMENT of its windows, or RUN words on
 end, are.
 
 Defined results: null and empty texts hold nothing; an item of fewer than WINDOW template words is matched
@@ -111,29 +112,37 @@ class Benchmark:
     def __init__(self, ids: list, texts: list[str | None]):
         column = pa.array(texts, pa.string())
         buf, at = K.texts(column)
-        self.ids, self.words = ids, Templates(buf, at)
+        self.ids, self.words, self._known = ids, Templates(buf, at), {}
         self.first = np.searchsorted(self.words.text, np.arange(len(ids) + 1))
         count = np.diff(self.first)
-        self.windows = {}
-        places = defaultdict(list)
-        for size in sorted({min(WINDOW, int(c)) for c in count if c >= LEAST}):
-            found = window_hashes(self.words.hash, size)
-            for item in np.flatnonzero((count >= size) if size == WINDOW else (count == size)).tolist():
-                for i in range(int(count[item]) - size + 1):
-                    places[size, int(found[self.first[item] + i])].append((item, i))
-        for size in {k[0] for k in places}:
-            keys = np.sort(np.array([h for s, h in places if s == size], np.uint64))
-            self.windows[size] = keys
-        self.places = dict(places)
         self.size = [min(WINDOW, int(c)) for c in count]
         self.count = [int(c) - s + 1 for c, s in zip(count, self.size, strict=True)]
+        # Windows of placeholders alone stand anywhere; they count beside windows with a word, and begin no search.
+        plain = np.append(0, np.cumsum(~self.words.slot))
+        places = defaultdict(list)
+        for item in np.flatnonzero(count >= LEAST).tolist():
+            first, size, n = int(self.first[item]), self.size[item], int(count[item])
+            begins = [i for i in range(n - size + 1) if plain[first + i + size] > plain[first + i]]
+            if not begins:  # no word at all: all of it or nothing
+                self.size[item], self.count[item], begins, size = n, 1, [0], n
+            found = self._hashes(size)
+            for i in begins:
+                places[size, int(found[first + i])].append((item, i))
+        self.windows = {size: np.sort(np.array([h for s, h in places if s == size], np.uint64)) for size in {k[0] for k in places}}
+        self.places = dict(places)
+
+    def _hashes(self, size: int) -> np.ndarray:
+        if size not in self._known:
+            self._known[size] = window_hashes(self.words.hash, size)
+        return self._known[size]
 
     def search(self, buf: np.ndarray, at: np.ndarray) -> Iterator[tuple[int, int, int, int, int]]:
         """(text, item, windows found, longest run in words, slots) of the items found in the texts of a slice."""
         words = Templates(buf, at)
         hits: dict[tuple[int, int], dict[int, list[int]]] = defaultdict(lambda: defaultdict(list))
+        hashes: dict[int, np.ndarray] = {}
         for size, keys in self.windows.items():
-            h = window_hashes(words.hash, size)
+            h = hashes[size] = window_hashes(words.hash, size)
             if not len(h):
                 continue
             spot = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
@@ -143,14 +152,19 @@ class Benchmark:
                     hits[int(words.text[j]), item][j - i].append(i)
         for (text, item), diagonals in hits.items():
             size, seen, longest, slots = self.size[item], set(), 0, 0
+            first, own, h = int(self.first[item]), self._hashes(size), hashes[size]
             for diagonal, starts in diagonals.items():
-                starts.sort()
+                known = set(starts)
+                beside = [i for i in range(self.count[item]) if i not in known and 0 <= diagonal + i < len(h) and h[diagonal + i] == own[first + i] and words.text[diagonal + i] == words.text[diagonal + i + size - 1] == text]
+                starts = sorted([*starts, *beside])
                 for run in _runs(starts):
                     good, n = self._consistent(words, item, diagonal, run, size)
                     slots = max(slots, n)
                     for part in _runs(good):
                         longest = max(longest, part[-1] - part[0] + size)
                     seen.update(good)
+                if len(seen) == self.count[item]:  # all of it; further places add nothing
+                    break
             if len(seen) >= CONTAINMENT * self.count[item] or longest >= RUN:
                 yield text, item, len(seen), longest, slots
 
@@ -158,7 +172,10 @@ class Benchmark:
         """The windows of a run whose slots agree with those before them, and the number of slots."""
         base, there, back, bad, slots = int(self.first[item]), {}, {}, set(), 0
         for i in range(run[0], run[-1] + size):
-            if self.words.slot[base + i]:
+            if not self.words.slot[base + i]:
+                if self.words.value(base + i) != words.value(diagonal + i):  # another word of the same hash
+                    bad.add(i)
+            else:
                 slots += 1
                 kind = int(self.words.hash[base + i])
                 own, other = (kind, self.words.value(base + i)), (kind, words.value(diagonal + i))
