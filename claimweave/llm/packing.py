@@ -26,8 +26,8 @@ from . import pretokens as P
 from . import store
 from .token_count import VOCABULARY, vocabulary_path
 
-#: Sub-groups in which the pieces of one length are ranked, so that a hot length is not one task's.
-RANK_GROUPS = 256
+#: Pieces in a sub-group in which those of one length are ranked, expected, so that a hot length is not one task's.
+RANK_ROWS = 10_000
 
 
 def _encoder(path: str) -> tuple:
@@ -170,7 +170,7 @@ def plan(histogram: dict[int, int], length: int = 1024) -> tuple[list[tuple[int,
 def assign(pieces: DataFrame, order: list[str], length: int = 1024) -> DataFrame:
     """pieces (a written table with a `length` column) with sequence_id and offset; `order` breaks ties of rank."""
     spark = pieces.sparkSession
-    group = F.pmod(F.xxhash64(*order), F.lit(RANK_GROUPS)).cast("int")
+    group = F.pmod(F.xxhash64(*order), F.lit(max(1, pieces.count() // RANK_ROWS)))
     grouped = pieces.withColumn("_group", group)
     counts = grouped.groupBy("length", "_group").agg(F.count("*").alias("_n"))
     before = F.sum("_n").over(Window.partitionBy("length").orderBy("_group").rowsBetween(Window.unboundedPreceding, -1))
