@@ -16,9 +16,11 @@ _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; where it is unset (tests on one machine), a temporary folder is set."""
+    """spark.checkpoint.dir; where it is unset on one machine (tests), a temporary folder is set, on a cluster an error is raised."""
     at = spark.conf.get("spark.checkpoint.dir", None)
     if not at:
+        if not spark.sparkContext.master.startswith(("local[", "local,")) and spark.sparkContext.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         at = "file://" + tempfile.mkdtemp(prefix="claimweave-")
         spark.conf.set("spark.checkpoint.dir", at)
     return at.rstrip("/")
@@ -28,12 +30,9 @@ def write(df: DataFrame, tag: str) -> DataFrame:
     """Writes df to a new folder and reads it back: lineage ends there and no executor's loss undoes it."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{tag}-{uuid.uuid4().hex}"
-    before = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
-    try:
-        df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(_CLEANUP, before) if before is not None else spark.conf.unset(_CLEANUP)
+    if spark.conf.get(_CLEANUP, None) is None:
+        spark.conf.set(_CLEANUP, "true")
+    df.write.option("compression", "zstd").parquet(path)
     out = spark.read.schema(df.schema).parquet(path)
     out.written_path = path
     _written[path] = spark
