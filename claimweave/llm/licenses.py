@@ -1,12 +1,14 @@
 """Operator 9 [native]: license scan by an exact set-similarity join.
 
 Blocks are the lines of a text and, for notices broken over lines, its windows of as many words as a template
-has (see wrapped); a block's set is its words. Words are ordered by how many blocks have
-them, rarest first. A template is found in a block that holds at least `threshold` of its words; by the
-prefix filter such a block shares one of the template's first words in that order, by the length filter
+has (see wrapped); a block's set is its words. Template words are ordered by how many documents have them, rarest
+first, counted over all documents. A template is found in a block that holds at least `threshold` of its words; by
+the prefix filter one of the template's first words in that order is one of the block's first, by the length filter
 it has enough words, by the positional filter enough are left after the shared one. What is left is
 verified on whole sets; a block gets the labels of all templates it meets, save one whose words in the block
-are all words of a rival that the block holds a larger share of (gpl-2 beside gpl-3). Base phrases are counted beside that. DataFrame functions only.
+are all words of a rival that the block holds a larger share of (gpl-2 beside gpl-3). Base phrases are counted beside that.
+One pass over all texts tells which hold enough of a template's words at all; only these are cut into blocks.
+DataFrame functions only.
 
 Defined results: null and empty texts have no words, no labels and score 0; repeated rows give a row
 each; an empty table gives an empty result; other columns are ignored, whatever their names.
@@ -15,7 +17,6 @@ each; an empty table gives an empty result; other columns are ignored, whatever
 from __future__ import annotations
 
 import math
-import re
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -36,21 +37,23 @@ TEMPLATES = [
     ("this source code form is subject to the terms of the mozilla public license v 2 0", "mpl-2"),
     ("this work is licensed under a creative commons attribution 4 0 international license", "cc-by"),
     ("this is free and unencumbered software released into the public domain", "unlicense"),
+    ("licensed under the apache license version 2 0 the license you may not use this file except in compliance with the license you may obtain a copy of the license at", "apache-2"),
+    ("this program is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation", "gpl"),
+    ("permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted", "isc"),
+    ("the above copyright notice and this permission notice shall be included in all copies or substantial portions of the software", "mit"),
 ]
-#: A word of the contract's alphabet, before letters are lower-cased.
-WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
-_GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
+#: What stands between words of the contract's alphabet, before letters are lower-cased.
+GAP = r"[\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def words(text: Column) -> Column:
     """The words of a text, A-Z lower-cased; other letters stay as they are."""
-    return F.regexp_extract_all(F.translate(text, _UPPER, _LOWER), F.lit(WORD), F.lit(0))
+    return F.array_remove(F.split(F.translate(text, _UPPER, _LOWER), GAP, -1), "")
 
 
-def phrase_pattern(phrase: str) -> str:
-    """A pattern of the phrase's words one after another, as whole words; ASCII case does not matter."""
-    return "(?i)(?<![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])" + _GAP.join(map(re.escape, phrase.split())) + "(?![^\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F])"
+def strings(values: list[str]) -> Column:
+    return F.array(*map(F.lit, values))
 
 
 def phrase_starts(found: Column, phrase: str) -> Column:
@@ -67,11 +70,30 @@ def phrase_starts(found: Column, phrase: str) -> Column:
     return F.filter(F.sequence(F.lit(0), F.size(found) - 1), here)
 
 
-def block_hits(docs: DataFrame, keys: list[str], text_col: str, vocabulary: list[str]) -> DataFrame:
-    """A row for each block with a template word: keys, block, n (its set's size) and hits, those words of its set."""
-    blocks = docs.select(*keys, F.posexplode(F.split(F.col(text_col), "\n", -1)).alias("block", "_line"))
+def needed(text: str, threshold: float) -> int:
+    """How many of a template's distinct words a block must hold."""
+    return math.ceil(round(threshold * len(set(text.split())), 9))
+
+
+def survey(docs: DataFrame, id_col: str, text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+    """A row for each document: _id, _hash, _bytes, n_words, held (vocabulary words) and the text, if it may hold a phrase or a template."""
+    vocabulary = sorted({w for t, _ in (*templates, *PHRASES) for w in t.split()})
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("_id"), text.alias("_text")).withColumn("_words", words(F.col("_text")))
+    rows = rows.select("_id", F.xxhash64("_text").alias("_hash"), F.octet_length("_text").alias("_bytes"), F.size("_words").cast("long").alias("n_words"), F.array_intersect("_words", strings(vocabulary)).alias("held"), "_text")
+    wanted = [(sorted(set(t.split())), needed(t, threshold)) for t, _ in templates] + [(sorted(set(p.split())), len(set(p.split()))) for p, _ in PHRASES]
+    enough = F.lit(False)
+    for own, least in wanted:
+        enough = enough | (F.size(F.array_intersect("held", strings(own))) >= least)
+    few = min(least for _, least in wanted)
+    return rows.withColumn("_text", F.when((F.size("held") >= few) & enough, F.col("_text")))
+
+
+def block_hits(found: DataFrame, keys: list[str], vocabulary: list[str]) -> DataFrame:
+    """A row for each line with a template word: keys, block, n (its set's size) and hits, those words of its set."""
+    blocks = found.select(*keys, F.posexplode(F.split(F.col("_text"), "\n", -1)).alias("block", "_line"))
     own = blocks.withColumn("_set", F.array_distinct(words(F.col("_line"))))
-    hits = own.select(*keys, "block", F.size("_set").cast("long").alias("n"), F.array_intersect("_set", F.array(*map(F.lit, vocabulary))).alias("hits"))
+    hits = own.select(*keys, "block", F.size("_set").cast("long").alias("n"), F.array_intersect("_set", strings(vocabulary)).alias("hits"))
     return hits.where(F.size("hits") > 0)
 
 
@@ -85,16 +107,15 @@ def outdone(held: Column, share: Column, others: Column, near: Column) -> Column
     return F.exists(others, lambda r: (F.size(F.array_except(held, r)) == 0) & (F.size(F.array_intersect(r, near)) / F.size(r) > share))
 
 
-def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
-    """(keys, block, template, label, containment) of every block and template that meet the threshold."""
+def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float, seen: dict[str, int]) -> DataFrame:
+    """(keys, block, template, label, containment) of every block and template that meet the threshold; `seen` orders the words."""
     spark = hits.sparkSession
     sets = [sorted(set(t.split())) for t, _ in templates]
     vocabulary = sorted({w for s in sets for w in s})
-    seen = {r["word"]: r["n"] for r in hits.select(F.explode("hits").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # template words only
     order = {w: i for i, w in enumerate(sorted(vocabulary, key=lambda w: (seen.get(w, 0), w)))}
     index, whole = [], []
     for k, (own, (_, label)) in enumerate(zip(sets, templates, strict=True)):
-        need = math.ceil(round(threshold * len(own), 9))
+        need = needed(" ".join(own), threshold)
         ranked = sorted(own, key=order.get)
         whole.append((k, label, need, ranked))
         index += [(w, k, i, len(own), need) for i, w in enumerate(ranked[: len(own) - need + 1])]
@@ -104,18 +125,19 @@ def join_templates(hits: DataFrame, keys: list[str], templates: list[tuple[str,
     least = min(x[2] for x in whole)
     rank = F.create_map(*[F.lit(x) for w, i in order.items() for x in (w, i)])
     ranked = hits.where(F.size("hits") >= least).withColumn("hits", F.transform(F.array_sort(F.transform("hits", lambda w: F.struct(rank[w].alias("r"), w.alias("w")))), lambda x: x["w"]))
-    tokens = ranked.select(*keys, "block", "n", "hits", F.posexplode("hits").alias("spot", "word"))
+    start = F.slice("hits", F.lit(1), F.size("hits") - least + 1)
+    tokens = ranked.select(*keys, "block", "n", "hits", F.posexplode(start).alias("spot", "word"))
     left_in_template, left_in_block = F.col("size") - F.col("at"), F.size("hits") - F.col("spot")
-    near = tokens.join(prefixes, "word").where((F.col("n") >= F.col("need")) & (F.least(left_in_template, left_in_block) + F.least("at", "spot") >= F.col("need")))
+    near = tokens.join(F.broadcast(prefixes), "word").where((F.col("n") >= F.col("need")) & (F.col("spot") <= F.size("hits") - F.col("need")) & (F.least(left_in_template, left_in_block) + F.least("at", "spot") >= F.col("need")))
     near = near.dropDuplicates([*keys, "block", "template"])
     shared = F.size(F.array_intersect("hits", "words"))
-    exact = near.join(whole_sets, "template").withColumn("_shared", shared).where(F.col("_shared") >= F.col("_need"))
+    exact = near.join(F.broadcast(whole_sets), "template").withColumn("_shared", shared).where(F.col("_shared") >= F.col("_need"))
     held = F.array_intersect("hits", "words")
     exact = exact.where(~outdone(held, F.col("_shared") / F.size("words"), F.col("rivals"), F.col("hits")))
     return exact.select(*keys, "block", "template", "label", (F.col("_shared") / F.size("words")).alias("containment"))
 
 
-def wrapped(docs: DataFrame, keys: list[str], text_col: str, templates: list[tuple[str, str]], threshold: float) -> DataFrame:
+def wrapped(found: DataFrame, keys: list[str], templates: list[tuple[str, str]], threshold: float) -> DataFrame:
     """(keys, label, containment) of every template that a window of words meets, in texts of several lines.
 
     A window has as many words as the template and begins at one of its words. Only texts that hold enough of a
@@ -123,16 +145,14 @@ def wrapped(docs: DataFrame, keys: list[str], text_col: str, templates: list[tup
     """
     sets = [sorted(set(t.split())) for t, _ in templates]
     reach = max(len(t.split()) for t, _ in templates)
-    rows = [(label, own, math.ceil(round(threshold * len(own), 9)), len(t.split()), r) for (t, label), own, r in zip(templates, sets, rivals(sets, threshold), strict=True)]
+    rows = [(label, own, needed(t, threshold), len(t.split()), r) for (t, label), own, r in zip(templates, sets, rivals(sets, threshold), strict=True)]
     kind = "label string, words array<string>, need int, length int, rivals array<array<string>>"
     every = F.array(*[
         F.struct(F.lit(a).alias("label"), F.array(*map(F.lit, b)).alias("words"), F.lit(c).alias("need"), F.lit(d).alias("length"), F.array(*[F.array(*map(F.lit, x)) for x in e]).cast("array<array<string>>").alias("rivals"))
         for a, b, c, d, e in rows
     ]).cast(f"array<struct<{', '.join(x.replace(' ', ':', 1) for x in kind.split(', '))}>>")
-    vocabulary = F.array(*[F.lit(w) for w in sorted({w for x in sets for w in x})])
-    own = docs.where(F.contains(F.col(text_col), F.lit("\n"))).select(*keys, words(F.col(text_col)).alias("_w"))
-    own = own.select(*keys, "_w", F.array_intersect("_w", vocabulary).alias("_held")).where(F.size("_held") > 0)
-    own = own.select(*keys, "_w", F.explode(F.filter(every, lambda t: F.size(F.array_intersect(t["words"], F.col("_held"))) >= t["need"])).alias("_t"))
+    own = found.where(F.contains(F.col("_text"), F.lit("\n"))).select(*keys, "held", words(F.col("_text")).alias("_w"))
+    own = own.select(*keys, "_w", F.explode(F.filter(every, lambda t: F.size(F.array_intersect(t["words"], F.col("held"))) >= t["need"])).alias("_t"))
     spots = F.filter(F.sequence(F.lit(0), F.size("_w") - 1), lambda i: F.array_contains(F.col("_t.words"), F.get("_w", i)))
     window = F.transform(spots, lambda i: F.struct(
         F.array_intersect(F.col("_t.words"), F.slice("_w", i + 1, F.col("_t.length"))).alias("held"),
@@ -147,35 +167,26 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     """A row for each document: n_words, n_base, first_word, last_word, base_labels, labels, score."""
     templates = templates or TEMPLATES
     vocabulary = sorted({w for t, _ in templates for w in t.split()})
-    text = F.coalesce(F.col(text_col), F.lit(""))
-    keyed = docs.select(F.col(id_col).alias("_id"), F.xxhash64(text).alias("_hash"), F.octet_length(text).alias("_bytes"), text.alias("_text"))
     keys = ["_id", "_hash", "_bytes"]
-    hits = store.write(block_hits(keyed, keys, "_text", vocabulary), "blocks")
-    met = join_templates(hits, keys, templates, threshold)
-    met = met.select(*keys, "label", "containment").unionByName(wrapped(keyed, keys, "_text", templates, threshold))
-    found = met.groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
-    base = keyed
-    # One pass that looks at no word's edges tells nearly all texts; only the others are counted phrase by phrase.
-    some = "(?i)" + "|".join(_GAP.join(map(re.escape, phrase.split())) for phrase, _ in PHRASES)
-    base = base.withColumn("_some", F.col("_text").rlike(some))
-    for k, (phrase, _) in enumerate(PHRASES):
-        base = base.withColumn(f"_n{k}", F.when(F.col("_some"), F.regexp_count("_text", F.lit(phrase_pattern(phrase)))).otherwise(0))
-    n_base = sum((F.col(f"_n{k}") for k in range(1, len(PHRASES))), F.col("_n0"))
-    own = F.when(n_base > 0, words(F.col("_text")))
-    starts = F.when(F.col("_words").isNotNull(), F.concat(*[phrase_starts(F.col("_words"), p) for p, _ in PHRASES]))
+    every = store.write(survey(docs, id_col, text_col, templates, threshold), "survey")
+    seen = {r["word"]: r["n"] for r in every.select(F.explode("held").alias("word")).groupBy("word").agg(F.count("*").alias("n")).collect()}  # a row for each vocabulary word
+    found = every.where(F.col("_text").isNotNull())
+    met = join_templates(block_hits(found, keys, vocabulary), keys, templates, threshold, seen)
+    met = met.select(*keys, "label", "containment").unionByName(wrapped(found, keys, templates, threshold))
+    met = met.groupBy(*keys).agg(F.collect_set("label").alias("_more"), F.max("containment").alias("_best"))
+    own = F.when(F.col("_text").isNotNull(), words(F.col("_text")))
+    starts = [F.when(F.size(F.array_intersect("held", strings(p.split()))) == len(set(p.split())), phrase_starts(F.col("_words"), p)) for p, _ in PHRASES]
+    base = every.withColumn("_words", own).withColumns({f"_p{k}": F.coalesce(s, F.array().cast("array<int>")) for k, s in enumerate(starts)})
+    base = base.withColumn("_starts", F.concat(*[F.col(f"_p{k}") for k in range(len(PHRASES))]))
     base = base.select(
-        *keys,
-        F.regexp_count("_text", F.lit(WORD)).cast("long").alias("n_words"),
-        n_base.cast("long").alias("n_base"),
-        own.alias("_words"),
-        F.array_compact(F.array(*[F.when(F.col(f"_n{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)])).alias("_labels"),
-    ).withColumn("_starts", starts)
-    base = base.drop("_words").withColumns({"first_word": F.array_min("_starts").cast("long"), "last_word": F.array_max("_starts").cast("long")})
+        *keys, "n_words", F.size("_starts").cast("long").alias("n_base"), F.array_min("_starts").cast("long").alias("first_word"), F.array_max("_starts").cast("long").alias("last_word"),
+        F.array_compact(F.array(*[F.when(F.size(f"_p{k}") > 0, F.lit(label)) for k, (_, label) in enumerate(PHRASES)])).alias("_labels"),
+    )
     same = F.col("a._id").eqNullSafe(F.col("b._id")) & (F.col("a._hash") == F.col("b._hash")) & (F.col("a._bytes") == F.col("b._bytes"))
-    both = base.alias("a").join(found.alias("b"), same, "left")
-    every = F.array_sort(F.array_distinct(F.concat("_labels", F.coalesce("_more", F.array().cast("array<string>")))))
+    both = base.alias("a").join(met.alias("b"), same, "left")
+    labels = F.array_sort(F.array_distinct(F.concat("_labels", F.coalesce("_more", F.array().cast("array<string>")))))
     return both.select(
         F.col("a._id").alias(id_col), "n_words", "n_base", "first_word", "last_word",
-        F.array_join(F.array_sort(F.array_distinct("_labels")), ",").alias("base_labels"), F.array_join(every, ",").alias("labels"),
+        F.array_join(F.array_sort(F.array_distinct("_labels")), ",").alias("base_labels"), F.array_join(labels, ",").alias("labels"),
         F.when(F.col("n_base") > 0, F.lit(1.0)).otherwise(F.coalesce("_best", F.lit(0.0))).alias("score"),
     )

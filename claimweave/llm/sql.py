@@ -56,19 +56,26 @@ def license_scan(threshold: float = 0.9) -> str:
     for k in range(1, len(PHRASES)):
         every = f"list_concat({every}, p{k})"
     base = "list_filter([" + ", ".join(f"case when len(p{k}) > 0 then '{label}' end" for k, (_, label) in enumerate(PHRASES)) + "], lambda x: x is not null)"
-    rows = []
-    for text, label in TEMPLATES:
-        own = sorted(set(text.split()))
-        rows.append(f"('{label}', [{', '.join(repr(x) for x in own)}], {math.ceil(round(threshold * len(own), 9))})")
-    return rf"""with t(label, own, need) as (values {", ".join(rows)}),
+    sets = [sorted(set(text.split())) for text, _ in TEMPLATES]
+    needs = [math.ceil(round(threshold * len(own), 9)) for own in sets]
+    reach = max(len(text.split()) for text, _ in TEMPLATES)
+    listed = lambda xs: "[" + ", ".join(f"'{x}'" for x in xs) + "]"
+    rows = [f"({k}, '{label}', {listed(sets[k])}, {needs[k]}, {len(text.split())})" for k, (text, label) in enumerate(TEMPLATES)]
+    rival = [f"({i}, {listed(sets[j])})" for i in range(len(sets)) for j in range(len(sets)) if i != j and len(set(sets[i]) & set(sets[j])) >= needs[i]]
+    outdone = "exists (select 1 from rival where rival.t = m.t and len(list_intersect(held, r)) = len(held) and len(list_intersect(near, r))::double / len(r) > c)"
+    return rf"""with t(t, label, own, need, size) as (values {", ".join(rows)}),
+rival(t, r) as (values {", ".join(rival)}),
 d as (select doc_id, translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}') as text from documents),
 w as (select doc_id, text, regexp_extract_all(text, '{word}') as w from d),
 p as (select doc_id, len(w)::bigint as n_words, {hits} from w),
 q as (select doc_id, n_words, {every} as starts, {base} as bl from p),
-lines as (select doc_id, row_number() over () as block, list_distinct(regexp_extract_all(l, '{word}')) as s from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
-near as (select * from lines where list_has_any(s, (select flatten(list(own)) from t))),
-met as (select doc_id, label, len(list_intersect(s, own))::double / len(own) as c, rank() over (partition by block order by len(list_intersect(s, own))::double / len(own) desc) as r from near, t where len(list_intersect(s, own)) >= need),
-f as (select doc_id, list(distinct label) as more, max(c) as best from met where r = 1 group by doc_id)
+lines as (select doc_id, list_distinct(regexp_extract_all(l, '{word}')) as s from (select doc_id, unnest(string_split(text, chr(10))) as l from d)),
+in_line as (select doc_id, t, label, list_intersect(s, own) as held, s as near, len(list_intersect(s, own))::double / len(own) as c from lines, t where len(list_intersect(s, own)) >= need),
+wide as (select doc_id, w, t.* from w, t where contains(text, chr(10)) and len(list_intersect(list_distinct(w), own)) >= need),
+spots as (select *, unnest(list_filter(range(1, len(w) + 1), lambda i: list_contains(own, w[i]))) as i from wide),
+windows as (select doc_id, t, label, need, len(own) as n, list_intersect(list_distinct(list_slice(w, i, i + size - 1)), own) as held, list_distinct(list_slice(w, greatest(i - {reach}, 1), greatest(i - {reach}, 1) + size + {2 * reach - 1})) as near from spots),
+m as (select * from in_line union all select doc_id, t, label, held, near, len(held)::double / n as c from windows where len(held) >= need),
+f as (select doc_id, list(distinct label) as more, max(c) as best from m where not {outdone} group by doc_id)
 select q.doc_id, n_words, len(starts)::bigint as n_base, (list_min(starts) - 1)::bigint as first_word, (list_max(starts) - 1)::bigint as last_word, array_to_string(list_sort(list_distinct(bl)), ',') as base_labels,
 array_to_string(list_sort(list_distinct(list_concat(bl, coalesce(more, []::varchar[])))), ',') as labels, case when len(starts) > 0 then 1.0 else coalesce(best, 0) end::double as score from q left join f using (doc_id)"""
 
