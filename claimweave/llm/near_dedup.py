@@ -6,9 +6,10 @@ the ring is turned by k places, so two permutations generate all coordinates. BA
 coordinates make candidates: a pair of similarity 0.8 misses all bands with probability below 3e-7.
 
 Documents with equal sets are represented by one of them. In a bucket, documents are compared with one
-leader rather than with each other; leaders change from round to round. Documents of buckets that still
-hold several components then go through an exact prefix join (see rare_pairs), which finds every similar
-pair among them without a bucket's pairs being listed. Links are confirmed on full sets.
+leader rather than with each other: the one that meets most documents over all buckets. Documents of buckets that still hold several components then go through an
+exact prefix join of what they have apart from their leader (see rare_pairs), which finds every similar pair among
+them without a bucket's pairs being listed. Links are confirmed on full sets, which hold a 64-bit keyed hash for
+each shingle.
 
 Defined results: a text without words (or null) has an empty set and is linked with nothing; a row without
 an id is linked with nothing, has no component and is kept; rows that share an id share a component; an
@@ -28,10 +29,12 @@ from . import kernels as K
 from . import store
 from .components import components
 from .quality_rules import window_hashes
+from .skew import join_counted, join_salted
 
-BANDS, ROWS, RING_BITS, ROUNDS = 50, 6, 20, 3
+BANDS, ROWS, RING_BITS = 50, 6, 20
 SHINGLE = 2
-CLASS_STEP = 1.05
+#: Items of a document that are compared before a pair is listed.
+HEAD = 128
 PERCENT = 80
 
 
@@ -49,7 +52,10 @@ def shingle_sets(buf: np.ndarray, at: np.ndarray, size: int = SHINGLE) -> tuple[
     first = np.cumsum(count) - count
     short = np.flatnonzero((count > 0) & (count < size))
     if len(short):
-        whole = np.array([K.mix(np.array([sum(int(w) * (i + 3) for i, w in enumerate(words[first[t] : first[t] + count[t]])) % 2**64], np.uint64))[0] for t in short], np.uint64)
+        whole = count[short].astype(np.uint64)
+        for i in range(size - 1):
+            on = np.flatnonzero(count[short] > i)
+            whole[on] = K.mix(whole[on] ^ words[first[short[on]] + i])
         found, of = np.concatenate([found, whole]), np.concatenate([of, short])
     order = np.lexsort((found, of))
     found, of = found[order], of[order]
@@ -96,7 +102,7 @@ def sketch(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE) ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
-        for batch in batches:
+        for batch in K.bounded(batches):
             for lo, hi, buf, at in K.slices(batch.column(1)):
                 sets, off = shingle_sets(buf, at, size)
                 n = np.diff(off)
@@ -121,7 +127,7 @@ def full_sets(docs: DataFrame, id_col: str, text_col: str, size: int = SHINGLE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
-        for batch in batches:
+        for batch in K.bounded(batches):
             for lo, hi, buf, at in K.slices(batch.column(1)):
                 sets, off = shingle_sets(buf, at, size)
                 raw = pa.Array.from_buffers(pa.binary(), hi - lo, [None, pa.py_buffer((off * 8).astype(np.int32)), pa.py_buffer(sets)])
@@ -139,20 +145,25 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int = PERCENT) -> bool:
     return 100 * shared >= percent * (len(a) + len(b) - shared)
 
 
-def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """The pairs (a, b) whose full sets are similar."""
+def with_sets(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) with the sets of both; b may be a leader of many."""
     left = sets.select(F.col("id").alias("a"), F.col("items").alias("_items_a"))
     right = sets.select(F.col("id").alias("b"), F.col("items").alias("_items_b"))
-    joined = pairs.select("a", "b").join(left, "a").join(right, "b")
+    return join_salted(pairs, right, "b").join(left, "a")
+
+
+def confirm(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """The pairs (a, b) whose full sets are similar."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
-        for batch in batches:
+        for batch in K.bounded(batches):
             x, y = batch.column(2), batch.column(3)
             ok = [similar(np.frombuffer(x[i].as_buffer(), np.uint64), np.frombuffer(y[i].as_buffer(), np.uint64)) for i in range(len(batch))]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     kind = pairs.schema["a"].dataType.simpleString()
+    joined = with_sets(pairs.select("a", "b"), sets)
     return joined.select("a", "b", "_items_a", "_items_b").mapInArrow(run, f"a {kind}, b {kind}")
 
 
@@ -160,101 +171,105 @@ def _size_fits(a, b):
     return (F.least(a, b) * 100) >= (F.greatest(a, b) * PERCENT)
 
 
-def _size_class(n):
-    """Classes of sizes, each five percent above the one before."""
-    return F.floor(F.log(n.cast("double")) / np.log(CLASS_STEP)).cast("int")
-
+def differences(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(lead, item, id, n, component, d) for members (a, b = their leader, component): a row for each of the d items that only one of the two has."""
 
-def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b): candidates for every similar pair of different components among members (id, component).
-
-    Items are ordered by how many members have them, rarest first. Sets of sizes n and m that are similar
-    share at least 4/9 (n + m) items, so they share one of the first n - 4/9 (n + m) + 1 of either. Partners
-    are told apart by size class, which keeps these prefixes short. In a group of one item and two classes,
-    only documents outside its most frequent component look for partners, since of two documents in
-    different components one is outside.
-    """
-    own = sets.join(members, "id")
-
-    def items(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         K.cache("near_dedup")
-        for batch in batches:
+        for batch in K.bounded(batches):
             for lo in range(0, len(batch), 256):
                 part = batch.slice(lo, 256)
-                raw = part.column(3)
-                count = np.array([len(x) // 8 for x in raw.to_pylist()], np.int64)
-                row = pa.array(np.repeat(np.arange(len(part)), count))
-                item = np.frombuffer(b"".join(raw.to_pylist()), np.int64)
-                yield pa.RecordBatch.from_arrays([*(part.column(i).take(row) for i in range(3)), pa.array(item)], names=["id", "n", "component", "item"])
-
-    kind = members.schema["id"].dataType.simpleString()
-    rows = own.select("id", "n", "component", "items").mapInArrow(items, f"id {kind}, n long, component {kind}, item long")
-    often = rows.groupBy("item").agg(F.count("*").alias("df")).where("df > 1")
-    held = rows.join(often, "item").groupBy("id", "n", "component").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("common"))
-    # Items that one member has come first in the order and start no pair.
-    held = held.withColumns({"own": _size_class(F.col("n")), "alone": F.col("n") - F.size("common")})
-    held = held.withColumn("other", F.explode(F.sequence(_size_class(F.col("n") * 0.8), _size_class(F.col("n") * 1.25))))
-    least = F.greatest(F.pow(F.lit(CLASS_STEP), F.col("other")) * 0.999999, F.col("n") * 0.8)
-    shared = F.ceil((F.col("n") + least) * PERCENT / (100 + PERCENT) - 1e-6)
-    width = F.col("n") - shared + 1 - F.col("alone")
-    prefix = held.where(width > 0).withColumn("start", F.slice("common", F.lit(1), width.cast("int")))
-    spread = prefix.select("id", "n", "component", "own", "alone", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"), F.posexplode("start").alias("spot", "found"))
-    spread = spread.select("id", "n", "component", "own", (F.col("alone") + F.col("spot")).alias("spot"), "low", "high", F.col("found.item").alias("item"))
-    group = ["item", "low", "high"]
-    spread = store.write(spread, "prefixes")
+                x, y = part.column(3), part.column(4)
+                own = [np.frombuffer(v.as_buffer(), np.uint64) for v in x]
+                items = [np.setxor1d(o, np.frombuffer(v.as_buffer(), np.uint64), assume_unique=True) for o, v in zip(own, y, strict=True)]
+                d = np.array([len(v) for v in items], np.int64)
+                row = np.repeat(np.arange(len(part)), d)
+                at = pa.array(row)
+                found = pa.array(np.concatenate(items).view(np.int64))
+                n = np.array([len(o) for o in own], np.int64)[row]
+                yield pa.RecordBatch.from_arrays([part.column(1).take(at), found, part.column(0).take(at), pa.array(n), part.column(2).take(at), pa.array(d[row])], names=["lead", "item", "id", "n", "component", "d"])
+
+    kind = members.schema["a"].dataType.simpleString()
+    joined = with_sets(members.select("a", "b", "component"), sets).select("a", "b", "component", "_items_a", "_items_b")
+    return joined.mapInArrow(run, f"lead {kind}, item long, id {kind}, n long, component {kind}, d long")
+
+
+def rare_pairs(members: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b): candidates for every similar pair of different components among members (a, b = their leader, component).
+
+    Sets of sizes n and m are similar if they differ in at most (n + m) / 9 items; so do the sets X and Y of what
+    they have apart from a leader of both. With |X| <= |Y| they share at least |X| - n / 8 items, hence one of the
+    first n / 8 + 1 of X and one of the first m / 4 + 1 of Y, in any order of items that is one for the leader. Or
+    they need share none, but then both are similar to the leader. Most items that near copies share are their
+    leader's too, so what is left tells them apart. The order has first the items of one component alone, which
+    start no pair, then the rarest. Of a pair's order the first HEAD items are compared before it is listed. In a
+    group of one leader and item, only documents outside its most frequent component look for partners, since of
+    two documents in different components one is outside.
+    """
+    rows = store.write(differences(members, sets), "differences")
+    group = ["lead", "item"]
+    often = rows.groupBy(*group).agg(F.count("*").alias("df"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(*group, "df")
+    alive = join_counted(rows, store.write(often, "often"), group, "df")
+    held = alive.groupBy("lead", "id", "n", "component", "d").agg(F.array_sort(F.collect_list(F.struct("df", "item"))).alias("live"))
+    held = held.withColumn("dead", F.col("d") - F.size("live"))
+    width = F.floor(F.col("n") / 4) + 1 - F.col("dead")
+    held = held.where(width > 0).withColumns({
+        "head": F.transform(F.slice("live", 1, HEAD), lambda x: x["item"]), "edge": F.element_at("live", F.least(F.size("live"), F.lit(HEAD))),
+        "rest": F.greatest(F.size("live") - HEAD, F.lit(0)), "start": F.slice("live", F.lit(1), width.cast("int")),
+    })
+    spread = held.select("lead", "id", "n", "component", "d", "dead", "head", "edge", "rest", F.posexplode("start").alias("spot", "found"))
+    spread = spread.withColumns({"item": F.col("found.item"), "spot": F.col("spot") + F.col("dead")}).drop("found", "dead")
+    spread = store.write(spread.withColumn("first", F.col("spot") <= F.floor(F.col("n") / 8)), "prefixes")
     main = spread.groupBy(*group).agg(F.mode("component").alias("main"), F.min("component").alias("_lo"), F.max("component").alias("_hi")).where("_lo < _hi").select(*group, "main")
-    mixed = spread.join(main, group)
-    seekers = mixed.where(F.col("component") != F.col("main")).alias("x")
-    every = mixed.alias("y")
-    met = seekers.join(every, group).where((F.col("x.component") != F.col("y.component")) & (F.col("x.own") + F.col("y.own") == F.col("low") + F.col("high")) & _size_fits(F.col("x.n"), F.col("y.n")))
-    most = F.least("x.spot", "y.spot") + F.least(F.col("x.n") - F.col("x.spot"), F.col("y.n") - F.col("y.spot"))
-    met = met.where(most * (100 + PERCENT) >= (F.col("x.n") + F.col("y.n")) * PERCENT)
+    mixed = store.write(spread.join(main, group), "mixed")
+    x, y = mixed.where(F.col("component") != F.col("main")).alias("x"), mixed.alias("y")
+    met = x.join(y, group).where((F.col("x.component") != F.col("y.component")) & _size_fits(F.col("x.n"), F.col("y.n")))
+    before = (F.col("x.d") < F.col("y.d")) | ((F.col("x.d") == F.col("y.d")) & (F.col("x.id") < F.col("y.id")))
+    met = met.where(F.when(before, F.col("x.first")).otherwise(F.col("y.first")))
+
+    def near_enough(shared):
+        return (F.col("x.d") + F.col("y.d") - 2 * shared) * (100 + PERCENT) <= (F.col("x.n") + F.col("y.n")) * (100 - PERCENT)
+
+    met = met.where(near_enough(F.least("x.spot", "y.spot") + F.least(F.col("x.d") - F.col("x.spot"), F.col("y.d") - F.col("y.spot"))))
+    # What both have up to the smaller edge is in both heads.
+    met = met.where(near_enough(F.size(F.array_intersect("x.head", "y.head")) + F.when(F.col("x.edge") <= F.col("y.edge"), F.col("x.rest")).otherwise(F.col("y.rest"))))
     return met.select(F.least("x.id", "y.id").alias("a"), F.greatest("x.id", "y.id").alias("b")).distinct()
 
 
 def link(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:
     """A row for each document: id, n_shingles, component_id, kept. Shingles have `size` words."""
-    sketched = store.write(sketch(docs, id_col, text_col, size), "sketch")
     whole = ["n", "s1", "s2"]
-    classes = sketched.where((F.col("n") > 0) & F.col("id").isNotNull()).groupBy(*whole).agg(F.min("id").alias("rep"))
-    members = store.write(sketched.select("id", *whole).join(classes, whole, "left").select("id", "n", F.when(F.col("id").isNotNull(), F.col("rep")).alias("rep")), "members")
-    reps = members.where(F.col("id") == F.col("rep")).select("id").distinct()
-    rows = sketched.where(F.col("n") > 0).join(reps, "id", "left_semi").select("id", "n", F.explode("bands").alias("key"))
-    shared = rows.groupBy("key").agg(F.min("id").alias("lo"), F.max("id").alias("hi")).where("lo < hi").select("key")
-    buckets = store.write(rows.join(shared, "key").distinct(), "buckets")
-    ids = buckets.select(F.col("id").alias("_id")).distinct()
+    sketched = store.write(sketch(docs, id_col, text_col, size), "sketch")
+    live = sketched.where((F.col("n") > 0) & F.col("id").isNotNull())
+    # Equal sets have equal bands.
+    classes = store.write(live.groupBy(*whole).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.first("bands").alias("bands")), "classes")
+    rows = classes.select(F.col("rep").alias("id"), "n", F.explode("bands").alias("key"))
+    shared = store.write(rows.groupBy("key").agg(F.count("*").alias("met"), F.count_distinct("id").alias("_ids")).where("_ids > 1").select("key", "met"), "shared")
+    met = store.write(join_counted(rows, shared, ["key"], "met").select("key", "id", "n", "met").distinct(), "met")
+    degree = met.groupBy("id").agg(F.sum("met").alias("degree"))
+    buckets = store.write(met.join(degree, "id").select("key", "id", "n", "degree"), "buckets")
+    ids = store.write(degree.select(F.col("id").alias("_id")), "ids")
     chosen = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(ids, F.col("id") == F.col("_id"), "left_semi")
     sets = store.write(full_sets(chosen, "id", "text", size).dropDuplicates(["id", "n", "items"]), "sets")
-    store.drop(sketched)
-    labels = buckets.select("id").distinct().withColumn("component", F.col("id"))
-    every, open_ = None, buckets.withColumn("component", F.col("id"))
-    for k in range(ROUNDS + 1):
-        if k < ROUNDS:  # each bucket's leader against those of other components
-            order = F.xxhash64(F.lit(k), "id") if k else F.col("id")
-            leaders = open_.groupBy("key").agg(F.min_by(F.struct("id", "n", "component"), F.struct(order, "id")).alias("lead"))
-            met = open_.join(leaders, "key").where(F.col("component") != F.col("lead.component")).where(_size_fits(F.col("n"), F.col("lead.n")))
-            pairs = met.select(F.least("id", "lead.id").alias("a"), F.greatest("id", "lead.id").alias("b")).distinct()
-        else:  # what no leader has joined
-            pairs = rare_pairs(open_.select("id", "component").distinct(), sets)
-        found = confirm(pairs, sets)
-        edges = store.write(found if every is None else every.unionByName(found), "links")
-        if every is not None:
-            store.drop(every)
-        every = edges
-        joined = components(every)
-        labels = buckets.select("id").distinct().join(joined, "id", "left").select("id", F.coalesce("component", "id").alias("component"))
-        if k == ROUNDS:
-            break
-        now = buckets.join(labels, "id")
-        mixed = now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("key")
-        open_ = store.write(now.join(mixed, "key").select("key", "id", "n", "component"), "open")
-        if not open_.limit(1).count():
-            break
-    store.drop(sets)
-    store.drop(every)
-    final = members.join(labels.select(F.col("id").alias("rep"), "component"), "rep", "left")
-    component = F.coalesce("component", "rep", "id")
-    return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(F.col("id") == component, F.lit(True)).alias("kept"))
+    best = F.struct("degree", F.xxhash64("id"), "id", "n")
+    first = store.write(buckets.groupBy("key").agg(F.max(best).alias("lead"), F.count("*").alias("met")), "leaders")
+    led = store.write(join_counted(buckets, first.select("key", F.col("lead.id").alias("lead"), F.col("lead.n").alias("lead_n"), "met"), ["key"], "met").drop("met", "degree"), "led")
+    pairs = led.where((F.col("id") != F.col("lead")) & _size_fits(F.col("n"), F.col("lead_n"))).select(F.col("id").alias("a"), F.col("lead").alias("b")).distinct()
+    edges = store.write(confirm(store.write(pairs, "pairs"), sets), "links")
+    labels = components(edges)
+    now = store.write(led.join(labels, "id", "left").select("key", "id", "lead", F.coalesce("component", "id").alias("component")), "labelled")
+    mixed = store.write(now.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("met")).where("lo < hi").select("key", "met"), "mixed-keys")
+    open_ = store.write(join_counted(now, mixed, ["key"], "met").select(F.col("id").alias("a"), F.col("lead").alias("b"), "component").distinct(), "open")
+    if open_.limit(1).count():  # what no leader has joined
+        more = store.write(confirm(store.write(rare_pairs(open_, sets), "pairs"), sets), "more-links")
+        if more.limit(1).count():
+            labels = components(edges.unionByName(more))
+    known = classes.select("rep", *whole, "copies").join(labels.withColumnRenamed("id", "rep"), "rep", "left")
+    known = store.write(known.select(*whole, "copies", F.coalesce("component", "rep").alias("component")), "known")
+    own = join_counted(live.select("id", *whole), known, whole, "copies").select("id", "n", "component")
+    alone = sketched.where((F.col("n") == 0) | F.col("id").isNull()).select("id", "n", F.col("id").alias("component"))
+    final = own.unionByName(alone)
+    return final.select(F.col("id").alias(id_col), F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), F.coalesce(F.col("id") == F.col("component"), F.lit(True)).alias("kept"))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE) -> DataFrame:

@@ -26,6 +26,55 @@ def by_id(df):
     return {r.doc_id: r for r in df.collect()}
 
 
+THUE = [0]
+while len(THUE) < 1024:
+    THUE += [1 - x for x in THUE]
+TWINS = ["".join("ab"[x] for x in THUE), "".join("ba"[x] for x in THUE)]
+
+
+def test_structured_texts_are_told_apart(spark, library):
+    """Thue-Morse strings collide under every polynomial hash modulo 2**64."""
+    both = spark.createDataFrame([(0, TWINS[0]), (1, TWINS[1]), (2, TWINS[0] + "\n" + TWINS[1])], "doc_id long, text string")
+    packed = by_id(packing.pack(both.where("doc_id < 2")))
+    for i in range(2):
+        ids = np.array([*library.encode(TWINS[i], add_special_tokens=False).ids, 0], "<u4")
+        assert packed[i].ids_crc32 == zlib.crc32(ids.tobytes())
+    assert [r.n_tokens for r in token_count.count_tokens(both).orderBy("doc_id").collect()] == [len(library.encode(t, add_special_tokens=False).ids) for t in (*TWINS, TWINS[0] + "\n" + TWINS[1])]
+    buf, at = kernels.texts(pa.array([TWINS[0] + "\n" + TWINS[1]]))
+    assert quality_rules.measures(buf, at)[3].tolist() == [0]
+    assert [r.component_id for r in near_dedup.link(both.where("doc_id < 2")).orderBy("doc_id").collect()] == [0, 1]
+    assert [(r.n_removed, r.kept_sha256) for r in suffix_dedup.remove(both).orderBy("doc_id").collect()] == [(w[1], w[3]) for w in cut([*TWINS, TWINS[0] + "\n" + TWINS[1]])]
+
+
+def test_equal_hashes_do_not_make_equal_spans(monkeypatch):
+    rng = random.Random(9)
+    words = [bytes(rng.choice(b"ab") for _ in range(rng.randrange(0, 40))) for _ in range(600)]
+    buf = np.frombuffer(b"".join(words), np.uint8)
+    ends = np.cumsum([len(w) for w in words])
+    starts = ends - [len(w) for w in words]
+    want = {w: i for i, w in enumerate(dict.fromkeys(words))}
+    for weak in (False, True):
+        if weak:  # hashes of two bits: bytes decide
+            true = kernels.span_hashes
+            monkeypatch.setattr(kernels, "span_hashes", lambda *a: true(*a) & np.uint64(3))
+        got = kernels.distinct_spans(buf, starts, ends).tolist()
+        assert len({(w, g) for w, g in zip(words, got, strict=True)}) == len(want) == len(set(got))
+        table = pretokens.PieceTable(lambda ps: (np.array([len(p) + 1 for p in ps], np.int32), None), bits=12)
+        rows = table.look_up(buf, starts, ends)
+        assert table.counts.array[rows].tolist() == [len(w) + 1 for w in words]
+
+
+def test_radix_order_is_byte_order():
+    from claimweave.llm import suffix_runs
+
+    rng = random.Random(10)
+    raw = bytes(rng.choice(b"ab\x00\xff") for _ in range(3000)) * 2
+    at = np.arange(len(raw) - 49)
+    order, level = suffix_runs.radix_order(suffix_runs.digits(kernels.loads(np.frombuffer(raw, np.uint8)), at, 50))
+    own = [raw[i : i + 50] for i in order]
+    assert own == sorted(own) and [a == b for a, b in zip(own, own[1:], strict=False)] == (level[1:] == 7).tolist()
+
+
 # --- 7 and 1 ---------------------------------------------------------------------------------------------------
 
 
@@ -313,18 +362,51 @@ def test_near_dedup(docs, empty, texts):
     assert kept.columns == docs.columns and sorted(r.doc_id for r in kept.collect()) == [i for i, w in enumerate(want) if w[2]]
 
 
-def test_what_leaders_leave_is_found(spark, monkeypatch):
-    monkeypatch.setattr(near_dedup, "ROUNDS", 0)  # the prefix join alone
+@pytest.mark.parametrize("head", [3, 128])
+def test_what_leaders_leave_is_found(spark, monkeypatch, head):
+    monkeypatch.setattr(near_dedup, "HEAD", head)
     rng = random.Random(8)
     base = [f"w{rng.randrange(300)}" for _ in range(60)]
     made = []
     for k in range(80):
         w = list(base)
-        for _ in range(k % 8):
+        for _ in range(k % 12):
             w[rng.randrange(60)] = f"w{rng.randrange(300)}"
         made.append(" ".join(w[: 60 - k % 5]))
-    got = by_id(near_dedup.link(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
-    assert [got[i].component_id for i in range(80)] == [c for _, c, _ in components(made)]
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    words = [m.split() for m in made]
+    own = [set(zip(w, w[1:], strict=False)) for w in words]
+    alike = lambda a, b: 100 * len(own[a] & own[b]) >= 80 * len(own[a] | own[b])
+    for lead in (0, 11):
+        members = spark.createDataFrame([(i, lead, i) for i in range(80)], "a long, b long, component long")
+        found = {(r.a, r.b) for r in near_dedup.rare_pairs(members, near_dedup.full_sets(df, "doc_id", "text")).collect()}
+        want = {(a, b) for b in range(80) for a in range(b) if alike(a, b) and not (alike(a, lead) and alike(b, lead))}
+        assert want <= found and (lead == 0 or len(want) > 100)
+
+
+def test_candidates_grow_in_proportion(spark, monkeypatch):
+    listed, confirm = [], near_dedup.confirm
+
+    def counted(pairs, sets):
+        listed.append(pairs.count())
+        return confirm(pairs, sets)
+
+    monkeypatch.setattr(near_dedup, "confirm", counted)
+    per = []
+    for n in (150, 600):
+        rng = random.Random(3)
+        base = [f"w{rng.randrange(200)}" for _ in range(120)]
+        made = []
+        for _ in range(n):
+            w = list(base)
+            for _ in range(rng.randrange(4, 11)):
+                w[rng.randrange(120)] = f"w{rng.randrange(200)}"
+            made.append(" ".join(w))
+        listed.clear()
+        got = by_id(near_dedup.link(spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")))
+        assert [got[i].component_id for i in range(n)] == [c for _, c, _ in components(made)]
+        per.append(sum(listed) / n)
+    assert per[1] < 1.5 * per[0]
 
 
 def least_similar(texts, size):
@@ -385,7 +467,12 @@ def test_sharding(docs, empty, texts, tmp_path):
         places.setdefault(r.shard, []).append(r.slot)
     assert all(sorted(v) == list(range(len(v))) for v in places.values()) and len(places) == 5
     assert max(map(len, places.values())) - min(map(len, places.values())) <= 1
-    assert sorted(map(tuple, got)) == sorted(map(tuple, sharding.shard(docs.repartition(7), shards=5).collect()))
+    for n, adaptive in ((3, "true"), (9, "false")):  # the same places however the rows are dealt
+        docs.sparkSession.conf.set("spark.sql.shuffle.partitions", n)
+        docs.sparkSession.conf.set("spark.sql.adaptive.enabled", adaptive)
+        assert sorted(map(tuple, got)) == sorted(map(tuple, sharding.shard(docs.repartition(7), shards=5).collect()))
+    docs.sparkSession.conf.set("spark.sql.shuffle.partitions", 4)
+    docs.sparkSession.conf.set("spark.sql.adaptive.enabled", "true")
     assert sharding.shard(empty).count() == 0
     assert sharding.shard(docs.unionByName(docs)).count() == 2 * len(texts)
     sharding.write_shards(docs.select("doc_id", "text"), str(tmp_path / "out"), shards=5)
@@ -399,6 +486,26 @@ def test_small_buckets_scatter_uniformly(spark):
     assert abs(np.corrcoef([r.doc_id for r in got], [r.slot for r in got])[0, 1]) < 0.1
 
 
+def test_shuffle_is_fisher_yates(spark):
+    from pyspark.sql import functions as F
+
+    seeds = spark.range(400).select("id", sharding.permutation(F.lit(6), F.lit(1), F.col("id")).alias("p"), F.array(*[F.pmod(F.xxhash64(F.lit(1), F.col("id"), F.lit(i)), F.lit(i + 1)) for i in range(1, 6)]).alias("draws")).collect()
+    for r in seeds:
+        own = [0]
+        for i, j in enumerate(r.draws, 1):
+            own.append(i)
+            own[i], own[j] = own[j], own[i]
+        assert r.p == own
+    assert len({tuple(r.p) for r in seeds}) > 250 and all(60 > sum(r.p[k] == 0 for r in seeds) * 6 / 8 > 30 for k in range(6))
+
+
+def test_many_equal_rows_are_scattered(spark):
+    from pyspark.sql import functions as F
+
+    got = sharding.place(spark.range(3000).select(F.lit(1).alias("doc_id")), ["doc_id"], 4, bucket_rows=50).collect()
+    assert Counter(r["shard"] for r in got) == {0: 750, 1: 750, 2: 750, 3: 750} and len({(r.shard, r.slot) for r in got}) == 3000
+
+
 LICENSE_TEXTS = [
     "Released under the MIT License.", "x under the  MIT-license and again UNDER THE MIT LICENSE", "undering the mit license", "Licensed under the Apache License, Version 2.0.", "CC BY-NC 4.0", "cc by ncx",
     "This work is licensed under the GNU General Public License, version 3.", "under the GNU General Public License, version 3 this work is licensed", "the gnu is a public animal", None, "", "Kunder the mit license", "éunder the mit license",
@@ -465,6 +572,14 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_leaks(empty, items).count() == 0 and decontamination.find_leaks(df, items.where("false")).count() == 0
 
 
+def test_numbers_alone_cost_no_more_than_they_are(spark):
+    items = spark.createDataFrame([(i, " ".join(str(k + i) for k in range(30))) for i in range(50)] + [(99, "add 3 4 5 6 7 8 9 and then stop")], "item_id long, text string")
+    table = " ".join(map(str, range(100, 2100)))
+    df = spark.createDataFrame([(0, table), (1, " ".join(str(k + 7) for k in range(30))), (2, "well: add 13 14 15 16 17 18 19 and then stop"), (3, "add 13 14 15")], "doc_id long, text string")
+    got = decontamination.find_leaks(df, items).collect()
+    assert {r.doc_id for r in got if r.item_id == 99} == {2} and {r.item_id for r in got if r.doc_id == 1} == set(range(50))
+
+
 @pytest.mark.parametrize("block", [40, 8 << 20])
 def test_rows_without_an_id_are_cleaned_too(spark, monkeypatch, block):
     monkeypatch.setattr(decontamination, "BLOCK_BYTES", block)
