@@ -8,43 +8,38 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # White space of Unicode, abbreviations whose point ends no sentence, marks of compound claims.
-WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+WHITE = "\t\n\x0b\x0c\r \x85\xa0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
 ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc"]
 COMPOUND = [", and ", ", but ", ", while ", ", whereas ", ", although ", ", which ", ", who ", ", where ", "; ", " — ", " – "]
 STRIPPED = ".!?,;:\"'"
 LETTERS = "abcdefghijklmnopqrstuvwxyz"
-_HIDDEN = "\x01"
+#: After a mark that ends a sentence: not a point between digits, nor one behind an abbreviation.
+SENTENCE_END = rf"(?<=[.!?;])(?!(?<=[0-9][.])[0-9])(?<!(?:{'|'.join(ABBREVIATIONS)})[.])"
 
 
 def trimmed(text: Column) -> Column:
     """Without Unicode white space at both ends."""
-    return F.regexp_replace(text, f"^{WHITE}++|{WHITE}++$", "")
+    return F.btrim(text, F.lit(WHITE))
 
 
-def raw_pieces(text: Column) -> Column:
-    """The text cut after each sentence mark; protected points are hidden as U+0001, which has a byte as they do.
-
-    Possessive classes keep the matcher from recursing, so the length of a text does not matter.
-    """
-    hidden = F.regexp_replace(text, r"(?<=[0-9])[.](?=[0-9])", _HIDDEN)
-    hidden = F.regexp_replace(hidden, f"({'|'.join(ABBREVIATIONS)})[.]", f"$1{_HIDDEN}")
-    return F.regexp_extract_all(hidden, F.lit(r"[^.!?;]*+[.!?;]|[^.!?;]++"), F.lit(0))
+def collapsed(text: Column) -> Column:
+    """Each run of Unicode white space made one blank."""
+    return F.regexp_replace(text, r"(?U)\s++", " ")
 
 
-def shown(piece: Column) -> Column:
-    """A piece, trimmed, with its hidden points put back."""
-    return F.translate(trimmed(piece), _HIDDEN, ".")
+def raw_pieces(text: Column) -> Column:
+    """The text cut after each sentence mark. Cuts have no width, so pieces are the text's own characters."""
+    return F.array_remove(F.split(text, SENTENCE_END, -1), "")
 
 
 def sentences(text: Column) -> Column:
     """The sentences of a text, in order."""
-    return F.filter(F.transform(raw_pieces(text), shown), lambda s: s != "")
+    return F.array_remove(F.transform(raw_pieces(text), trimmed), "")
 
 
 def normalized(text: Column) -> Column:
     """Lower case, white space collapsed, marks stripped from both ends: what verbatim containment compares."""
-    flat = trimmed(F.regexp_replace(F.lower(text), f"{WHITE}++", " "))
-    return F.regexp_replace(flat, r"""^[.!?,;:"']++|[.!?,;:"']++$""", "")
+    return F.btrim(F.btrim(collapsed(F.lower(text)), F.lit(" ")), F.lit(STRIPPED))
 
 
 def is_compound(text: Column) -> Column:
@@ -63,7 +58,7 @@ def adaptive_k(text: Column, k: Column | int, adaptive: bool = True) -> Column:
 def letter_vector(text: Column) -> Column:
     """How often each of a-z occurs: a deterministic embedding for tests and offline runs."""
     low = F.lower(text)
-    return F.array(*[(F.length(low) - F.length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
+    return F.array(*[(F.octet_length(low) - F.octet_length(F.replace(low, F.lit(c), F.lit("")))).cast("double") for c in LETTERS])
 
 
 def dot(a: Column, b: Column, size: int) -> Column:
@@ -80,13 +75,13 @@ def cosine(a: Column, b: Column, size: int, norm_a: Column | None = None, norm_b
 
 def words(text: Column) -> Column:
     """Distinct lower-case words of ASCII letters and digits."""
-    return F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit("[a-z0-9]+"), F.lit(0)))
+    return F.array_distinct(F.array_remove(F.split(F.lower(text), "[^a-z0-9]+", -1), ""))
 
 
 def strip_html(html: Column) -> Column:
     """Visible text of a page: tags, scripts and styles go, white space collapses."""
     bare = F.regexp_replace(html, r"(?is)<(script|style)[^>]*+>.*?</\1[^>]*+>", "")
-    return trimmed(F.regexp_replace(F.regexp_replace(bare, r"<[^>]*+>", ""), f"{WHITE}++", " "))
+    return F.btrim(collapsed(F.regexp_replace(bare, r"<[^>]*+>", "")), F.lit(" "))
 
 
 def article_title(url: Column, host_suffix: str, prefix: str) -> Column:
@@ -117,10 +112,29 @@ def input_hash(context: Column, question: Column, answer: Column) -> Column:
     return F.sha2(F.concat_ws("|", *parts), 256)
 
 
-def json_pointer(json: Column, pointer: str) -> Column:
-    """The JSON text of what a pointer such as /a/b/0 names, or null."""
-    path = "$"
+def json_value(json: Column, pointer: str) -> Column:
+    """The variant that a JSON pointer such as /a/0 names, with its type; null where there is none or the text is no JSON.
+
+    A number names an index of an array or a key of an object, whichever is there.
+    """
+    if pointer and not pointer.startswith("/"):
+        return F.lit(None).cast("variant")
+    paths = ["$"]
     for part in pointer.split("/")[1:]:
         name = part.replace("~1", "/").replace("~0", "~")
-        path += f"[{name}]" if name.isdigit() else f"['{name}']"
-    return F.get_json_object(json, path)
+        mark = '"' if "'" in name else "'"
+        if mark in name:
+            raise ValueError(f"a key with both quotation marks: {name}")
+        steps = [f"[{mark}{name}{mark}]"]
+        if name.isascii() and name.isdigit() and (name == "0" or name[0] != "0"):
+            steps.append(f"[{name}]")
+        paths = [p + step for p in paths for step in steps]
+    value = F.try_parse_json(json)
+    return F.coalesce(*[F.try_variant_get(value, p, "variant") for p in paths])
+
+
+def json_pointer(json: Column, pointer: str) -> Column:
+    """The JSON text of what a pointer names, strings without their marks; null for JSON's null or nothing."""
+    value = json_value(json, pointer)
+    text = F.when(F.schema_of_variant(value) == "STRING", F.try_variant_get(value, "$", "string"))
+    return F.when(~F.is_variant_null(value), F.coalesce(text, F.to_json(value)))

@@ -20,11 +20,11 @@ def sentence_spans(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     A span begins after the white space that follows the sentence before; the first one keeps its own.
     """
     pieces = df.select(*keys, F.posexplode(T.raw_pieces(F.col(text_col))).alias("_pos", "_piece"))
-    lead = F.regexp_extract("_piece", f"^{T.WHITE}*+", 0)
+    rest = F.ltrim("_piece", F.lit(T.WHITE))
     pieces = pieces.select(
-        *keys, "_pos", T.shown(F.col("_piece")).alias("sentence"),
+        *keys, "_pos", T.trimmed(F.col("_piece")).alias("sentence"),
         F.octet_length("_piece").alias("_bytes"), F.length("_piece").alias("_chars"),
-        F.when(F.col("_pos") > 0, F.octet_length(lead)).otherwise(0).alias("_lead"), F.when(F.col("_pos") > 0, F.length(lead)).otherwise(0).alias("_lead_chars"),
+        F.when(F.col("_pos") > 0, F.octet_length("_piece") - F.octet_length(rest)).otherwise(0).alias("_lead"), F.when(F.col("_pos") > 0, F.length("_piece") - F.length(rest)).otherwise(0).alias("_lead_chars"),
     )
     upto = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = pieces.withColumns({"end": F.sum("_bytes").over(upto), "char_end": F.sum("_chars").over(upto), "_full": F.sum((F.col("sentence") != "").cast("int")).over(upto)})
