@@ -11,21 +11,29 @@ from ..operators.tool_guard import Policy, ordering_text, stateless_reasons
 
 OUTPUT = "session_id string, call_index long, tool_name string, reason string, allowed boolean"
 
+#: The tool name of a row that resets its session.
+RESET = "__reset__"
+
 
 class OrderGuard(StatefulProcessor):
     """Decides on order rules; its state is the set of prerequisite tools that a session has called."""
 
-    def __init__(self, policy: Policy, audit: bool = False):
-        self.rules, self.audit = [(o.prerequisite, o.dependent, ordering_text(o)) for o in policy.ordering], audit
+    def __init__(self, policy: Policy, audit: bool = False, keep_ms: int | None = None):
+        self.rules, self.audit, self.keep_ms = [(o.prerequisite, o.dependent, ordering_text(o)) for o in policy.ordering], audit, keep_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.called = handle.getMapState("called", "tool string", "seen boolean")
+        self.called = handle.getMapState("called", "tool string", "seen boolean", self.keep_ms)
 
     def handleInputRows(self, key, rows, timerValues):
         wanted = {p for p, _, _ in self.rules}
-        for frame in rows:
+        # A key's rows may come in several frames; the order is over all that a batch has of it.
+        frames = list(rows)
+        if frames:
             out = []
-            for r in frame.sort_values("call_index").itertuples(index=False):
+            for r in pd.concat(frames).sort_values("call_index", kind="stable").itertuples(index=False):
+                if r.tool_name == RESET:
+                    self.called.clear()
+                    continue
                 reason = r.before
                 if reason is None:
                     reason = next((text for p, d, text in self.rules if d == r.tool_name and not self.called.containsKey((p,))), None)
@@ -40,13 +48,15 @@ class OrderGuard(StatefulProcessor):
         pass
 
 
-def guard_stream(calls: DataFrame, policy: Policy, audit: bool = False) -> DataFrame:
+def guard_stream(calls: DataFrame, policy: Policy, audit: bool = False, keep_ms: int | None = None) -> DataFrame:
     """A stream of calls (session_id, call_index, tool_name, arguments) to a stream of verdicts.
 
     Rules that need no history are Column expressions ahead of the state. In audit mode every call is
-    allowed and keeps its reason.
+    allowed and keeps its reason. A call of the tool RESET forgets its session's history and has no verdict. With
+    keep_ms a tool's call is forgotten that long after it; without, sessions are kept for good. Calls are judged in the
+    order of call_index within a batch; one that comes in a later batch than its followers is judged then.
     """
     before, after = stateless_reasons(policy, F.col("tool_name"), F.col("arguments"))
     none = F.lit(None).cast("string")
     ready = calls.select("session_id", "call_index", "tool_name", F.coalesce(*before, none).alias("before"), F.coalesce(*after, none).alias("after"))
-    return ready.groupBy("session_id").transformWithStateInPandas(statefulProcessor=OrderGuard(policy, audit), outputStructType=OUTPUT, outputMode="Append", timeMode="None")
+    return ready.groupBy("session_id").transformWithStateInPandas(statefulProcessor=OrderGuard(policy, audit, keep_ms), outputStructType=OUTPUT, outputMode="Append", timeMode="ProcessingTime" if keep_ms else "None")

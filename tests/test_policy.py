@@ -60,6 +60,42 @@ def test_guard(spark):
     assert (log.total_calls, log.violations, log.first_violation, log.compliant) == (2, 1, 0, False)
 
 
+def test_parameters_have_types(spark):
+    own = lambda kind, **rule: TG.Policy(parameters=(TG.Parameter("t", "/k", kind, **rule),))
+    values = [95, "95", 9.5, None, True, [1], {"a": 1}, "x1"]
+    rows = [("t", {"k": v}) for v in values]
+    assert allowed(spark, rows, own("range", low=10, high=90)) == [False, True, False, True, True, True, True, True]
+    assert allowed(spark, rows, own("allowed", values=(95, None, [1]))) == [True, False, False, True, False, True, False, False]
+    assert allowed(spark, rows, own("not_contains", text='"')) == [True, False, True, True, True, True, False, False]
+    assert allowed(spark, rows, own("regex", text="^[0-9x]")) == [True, True, True, False, False, False, False, True]
+    assert allowed(spark, rows, own("regex", text="(?P<x>9)")) == [False] * 8  # the engine refuses it
+    assert allowed(spark, [("t", {"j": 1})], own("allowed", values=(2,))) == [True]
+    nested = TG.Policy(parameters=(TG.Parameter("t", "/k/0", "range", high=5),))
+    assert allowed(spark, [("t", {"k": [9]}), ("t", {"k": {"0": 9}}), ("t", {"k": [1]})], nested) == [False, False, True]
+    reason = TG.judge_log(calls(spark, [("t", {"k": 95})]), own("range", low=10, high=90)).first().reason
+    assert reason == "Parameter '/k' in tool 't' is 95, which exceeds maximum 90"
+
+
+def test_history_and_transcripts(spark):
+    made = TG.calls_from_json(spark.createDataFrame([('{"session_id":"s","calls":[{"tool":"a","arguments":{"x":[1,"y"]}},{"tool":"b"}]}',), ("no",)], "value string"))
+    got = TG.call_history(made).orderBy("call_index").collect()
+    assert [(r.session_id, r.tool_name, r.arguments, r.history) for r in got] == [("s", "a", '{"x":[1,"y"]}', []), ("s", "b", None, ["a"])]
+
+
+def test_stream_forgets_on_reset(spark, tmp_path):
+    pytest.importorskip("google.protobuf")
+    from claimweave.streaming.guard import RESET
+
+    p = TG.Policy(ordering=(TG.Ordering("verify", "transfer", "first"),))
+    rows = calls(spark, [("verify", {}), ("transfer", {}), (RESET, {}), ("transfer", {})])
+    rows.coalesce(1).write.parquet(str(tmp_path / "in"))
+    spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    stream = guard_stream(spark.readStream.schema(rows.schema).parquet(str(tmp_path / "in")), p, keep_ms=3_600_000)
+    q = stream.writeStream.format("memory").queryName("after_reset").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
+    q.awaitTermination(120)
+    assert [(r.call_index, r.allowed) for r in spark.table("after_reset").orderBy("call_index").collect()] == [(0, True), (1, True), (3, False)]
+
+
 def test_stream_agrees_with_batch(spark, tmp_path):
     pytest.importorskip("google.protobuf")
     p = TG.Policy(denied=("bad",), ordering=(TG.Ordering("verify", "transfer", "first"),), parameters=(TG.Parameter("pay", "/n", "range", 1, 9),))
@@ -84,10 +120,23 @@ def test_robustness(spark):
     assert len(made) == 3 and all("tell me" in r.variant for r in made)
     samples = spark.createDataFrame([(0, False, ["a"], "x"), (1, True, ["a", "b"], "y"), (2, True, [], "z")], "ord long, adversarial boolean, violated array<string>, response string")
     got = {r.rule_id: r for r in robustness.rule_scores(spark.createDataFrame([("a",), ("b",), ("c",)], "rule_id string"), samples).collect()}
-    assert (got["a"].base_rate, got["a"].adversarial_rate, got["a"].first_bypass) == (1.0, 0.5, "x")
+    assert (got["a"].base_rate, got["a"].adversarial_rate, got["a"].bypasses) == (1.0, 0.5, ["x", "y"])
     assert (got["b"].violations, got["c"].violation_rate) == (1, 0.0)
 
 
+def test_long_texts_are_detected_in_chunks(spark):
+    def predict(chunks):  # each digit is a token; those above 4 are unsupported
+        return chunks.select("id", "chunk_idx", F.posexplode(F.split("chunk", "")).alias("tok_idx", "_c")).where("_c rlike '[0-9]'").select(
+            "id", "chunk_idx", "tok_idx", F.col("tok_idx").alias("start"), (F.col("tok_idx") + 1).alias("end"), (F.col("_c") > "4").cast("int").alias("cls"), (F.col("_c").cast("double") / 10).alias("p1")
+        )
+
+    df = spark.createDataFrame([(0, "a5679b"), (1, "a1b56789c777d")], "id long, text string")
+    found, share = spans.detect(df, ["id"], "text", predict, length=6, overlap=2)
+    assert sorted((r.id, r.start, r.end, round(r.p, 6)) for r in found.collect()) == [(0, 1, 5, 0.675), (1, 3, 8, 0.9), (1, 9, 12, 0.7)]
+    got = {r.id: (r.total_tokens, r.hallucinated_tokens) for r in share.collect()}
+    assert got[0] == (4, 4) and got[1][0] > 9  # overlaps count twice
+
+
 def test_spans(spark):
     def merged(rows):
         df = spark.createDataFrame([(0, i, *r) for i, r in enumerate(rows)], "id long, tok_idx long, start long, end long, cls int, p1 double")
@@ -123,7 +172,7 @@ def test_schema(spark, text, kinds):
 def test_schema_depth_and_refusal(spark):
     df = spark.createDataFrame([(0, '{"a":{"b":{}}}')], "id long, doc string")
     assert [e.kind for e in schemas.validate(df, ["id"], "doc", {"type": "object"}, 2).first().errors] == ["max_depth"]
-    for bad in ({"minimum": 1, "exclusiveMinimum": True}, {"$ref": "#/x"}):
+    for bad in ({"minimum": 1, "exclusiveMinimum": True}, {"$ref": "#/x"}, {"properties": {"a": {"$ref": "#"}}}, {"patternProperties": {}}):
         with pytest.raises(schemas.UnsupportedSchema):
             schemas.validate(df, ["id"], "doc", bad)
 
@@ -153,3 +202,19 @@ def test_rag(spark):
     found, share = spans.detect_rag(rows, ["id"], spans.unsupported_tokens(rows, ["id"], "c", "text"))
     assert [(r.id, r.start, r.end) for r in found.collect()] == [(1, 0, 4)]
     assert {r.id: round(r.ratio, 3) for r in share.collect()} == {1: 0.4, 2: 0.0}
+
+
+@pytest.mark.parametrize(
+    ("schema", "good", "bad"),
+    [
+        ({"oneOf": [{"type": "integer"}, {"minimum": 5}]}, [3, 5.5], [7, 2.5]),
+        ({"if": {"properties": {"a": {"const": 1}}, "required": ["a"]}, "then": {"required": ["b"]}, "else": {"required": ["c"]}}, [{"a": 1, "b": 0}, {"a": 2, "c": 0}], [{"a": 1, "c": 0}, {"b": 1}]),
+        ({"definitions": {"n": {"type": "integer", "multipleOf": 3}}, "properties": {"x": {"$ref": "#/definitions/n"}}}, [{"x": 9}, {}], [{"x": 8}, {"x": "9"}]),
+        ({"properties": {"a": {}}, "additionalProperties": {"type": "string"}, "maxProperties": 2, "minProperties": 1}, [{"a": 1}, {"a": 1, "b": "x"}], [{"b": 1}, {}, {"a": 1, "b": "x", "c": "y"}]),
+        ({"contains": {"type": "string"}}, [["a", 1], "x"], [[1], []]),
+    ],
+)
+def test_more_keywords(spark, schema, good, bad):
+    rows = [(i, json.dumps(v)) for i, v in enumerate([*good, *bad])]
+    got = {r.id: r.valid for r in schemas.validate(spark.createDataFrame(rows, "id long, doc string"), ["id"], "doc", schema).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * len(good) + [False] * len(bad)
