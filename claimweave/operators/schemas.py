@@ -1,21 +1,23 @@
 """JSON Schema (a Draft 7 subset) compiled to Column predicates.
 
-Keywords: type, required, properties, additionalProperties (boolean), enum, const, pattern, minLength,
-maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, items (one schema), minItems, maxItems,
-uniqueItems, allOf, anyOf, not. A schema with another validating keyword is refused when it is compiled.
+Keywords: type, required, properties, additionalProperties, minProperties, maxProperties, enum, const, pattern,
+minLength, maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, items (one schema), contains,
+minItems, maxItems, uniqueItems, allOf, anyOf, oneOf, not, if/then/else and $ref into the schema itself. `format` is
+an annotation. A schema with another validating keyword, or one that refers to itself, is refused when it is compiled.
 """
 
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "items", "minItems", "maxItems", "uniqueItems", "allOf", "anyOf", "not"}
-_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "format", "$comment"}
+_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "items", "minItems", "maxItems", "uniqueItems", "allOf", "anyOf", "not", "oneOf", "if", "then", "else", "minProperties", "maxProperties", "multipleOf", "contains"}
+_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "format", "$comment", "definitions", "$defs"}
 
 
 class UnsupportedSchema(ValueError):
@@ -31,8 +33,31 @@ def _is(value: Column, kind: str) -> Column:
     }[kind]
 
 
-def compile_schema(schema: dict, value: Column, path: str = "") -> list[tuple[str, str, Column]]:
+def referred(root: dict, ref: str, seen: tuple[str, ...]) -> dict:
+    """The part of the schema that a reference such as #/definitions/a names."""
+    if not ref.startswith("#") or ref in seen:
+        raise UnsupportedSchema(f"$ref {ref}: {'refers to itself' if ref in seen else 'not in this schema'}")
+    found = root
+    for part in ref[1:].split("/")[1:]:
+        name = part.replace("~1", "/").replace("~0", "~")
+        if not isinstance(found, dict) or name not in found:
+            raise UnsupportedSchema(f"$ref {ref}: nothing there")
+        found = found[name]
+    return found
+
+
+def compile_schema(schema: dict, value: Column, path: str = "", root: dict | None = None, seen: tuple[str, ...] = ()) -> list[tuple[str, str, Column]]:
     """(path, kind, failing) of each assertion; `failing` is true where the value breaks it."""
+    root = schema if root is None else root
+
+    def inner(sub: dict, at: Column, where: str) -> list[tuple[str, str, Column]]:
+        return compile_schema(sub, at, where, root, seen)
+
+    def fails(sub: dict, at: Column) -> Column:
+        return _any([c for _, _, c in inner(sub, at, path)])
+
+    if isinstance(schema, dict) and "$ref" in schema:  # what stands beside it is ignored
+        return compile_schema(referred(root, schema["$ref"], seen), value, path, root, (*seen, schema["$ref"]))
     if schema is True or schema == {}:
         return []
     if schema is False:
@@ -67,12 +92,21 @@ def compile_schema(schema: dict, value: Column, path: str = "") -> list[tuple[st
     for name in schema.get("required", []):
         out.append((path, "required", here & _is(value, "object") & F.try_variant_get(value, _step(name), "variant").isNull()))
     for name, sub in schema.get("properties", {}).items():
-        out += compile_schema(sub, F.try_variant_get(value, _step(name), "variant"), f"{path}/{name}")
+        out += inner(sub, F.try_variant_get(value, _step(name), "variant"), f"{path}/{name}")
+    is_object, known = here & _is(value, "object"), F.array(*map(F.lit, schema.get("properties", {"": 0})))
+    keys = F.json_object_keys(F.to_json(value))
     if schema.get("additionalProperties") is False:
-        known = F.array(*map(F.lit, schema.get("properties", {"": 0})))
-        out.append((path, "additionalProperties", here & _is(value, "object") & (F.size(F.array_except(F.json_object_keys(F.to_json(value)), known)) > 0)))
-    elif schema.get("additionalProperties", True) is not True:
-        raise UnsupportedSchema(f"{path or '/'}: additionalProperties must be a boolean")
+        out.append((path, "additionalProperties", is_object & (F.size(F.array_except(keys, known)) > 0)))
+    elif isinstance(schema.get("additionalProperties"), dict):
+        more = F.filter(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda x: ~F.array_contains(known, x["key"]))
+        out.append((f"{path}/*", "additionalProperties", is_object & F.coalesce(F.exists(more, lambda x: fails(schema["additionalProperties"], x["value"])), F.lit(False))))
+    if "minProperties" in schema:
+        out.append((path, "minProperties", is_object & (F.size(keys) < schema["minProperties"])))
+    if "maxProperties" in schema:
+        out.append((path, "maxProperties", is_object & (F.size(keys) > schema["maxProperties"])))
+    if "multipleOf" in schema:
+        share = number / F.lit(float(schema["multipleOf"]))
+        out.append((path, "multipleOf", is_number & (F.abs(share - F.round(share)) > 1e-9)))
     items = F.try_variant_get(value, "$", "array<variant>")
     if "minItems" in schema:
         out.append((path, "minItems", is_array & (F.size(items) < schema["minItems"])))
@@ -82,18 +116,23 @@ def compile_schema(schema: dict, value: Column, path: str = "") -> list[tuple[st
         texts = F.transform(items, lambda x: F.to_json(x))
         out.append((path, "uniqueItems", is_array & (F.size(F.array_distinct(texts)) < F.size(items))))
     if isinstance(schema.get("items"), dict):
-        broken = F.exists(items, lambda x: _any([c for _, _, c in compile_schema(schema["items"], x, f"{path}/*")]))
+        broken = F.exists(items, lambda x: fails(schema["items"], x))
         out.append((f"{path}/*", "items", is_array & F.coalesce(broken, F.lit(False))))
+    if "contains" in schema:
+        out.append((path, "contains", is_array & F.coalesce(F.forall(items, lambda x: fails(schema["contains"], x)), F.lit(False))))
     for sub in schema.get("allOf", []):
-        out += compile_schema(sub, value, path)
+        out += inner(sub, value, path)
     if "anyOf" in schema:
-        each = [_any([c for _, _, c in compile_schema(sub, value, path)]) for sub in schema["anyOf"]]
-        every = each[0]
-        for e in each[1:]:
-            every = every & e
-        out.append((path, "anyOf", here & every))
+        out.append((path, "anyOf", here & reduce(lambda x, y: x & y, [fails(sub, value) for sub in schema["anyOf"]])))
+    if "oneOf" in schema:
+        fit = reduce(lambda x, y: x + y, [(~fails(sub, value)).cast("int") for sub in schema["oneOf"]])
+        out.append((path, "oneOf", here & (fit != 1)))
     if "not" in schema:
-        out.append((path, "not", here & ~_any([c for _, _, c in compile_schema(schema["not"], value, path)])))
+        out.append((path, "not", here & ~fails(schema["not"], value)))
+    if "if" in schema:
+        met = ~fails(schema["if"], value)
+        out += [(p, k, met & c) for p, k, c in inner(schema.get("then", {}), value, path)]
+        out += [(p, k, ~met & c) for p, k, c in inner(schema.get("else", {}), value, path)]
     return out
 
 

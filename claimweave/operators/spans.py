@@ -6,10 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from . import claims
+
+#: Where letters and digits meet anything else.
+TOKEN_EDGE = r"(?<=[\p{L}\p{N}])(?![\p{L}\p{N}])|(?<![\p{L}\p{N}])(?=[\p{L}\p{N}])"
+
 
 def tokens(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
     """keys, tok_idx, token, start, end (characters) of the runs of letters and digits in a text."""
-    parts = df.select(*keys, F.posexplode(F.regexp_extract_all(F.col(text_col), F.lit(r"[\p{L}\p{N}]++|[^\p{L}\p{N}]++"), F.lit(0))).alias("_pos", "_part"))
+    parts = df.select(*keys, F.posexplode(F.array_remove(F.split(F.col(text_col), TOKEN_EDGE, -1), "")).alias("_pos", "_part"))
     upto = Window.partitionBy(*keys).orderBy("_pos").rowsBetween(Window.unboundedPreceding, 0)
     placed = parts.withColumn("end", F.sum(F.length("_part")).over(upto)).withColumn("_word", F.col("_part").rlike(r"^[\p{L}\p{N}]"))
     placed = placed.withColumn("_n", F.sum(F.col("_word").cast("int")).over(upto)).where("_word")
@@ -18,7 +23,7 @@ def tokens(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
 
 def unsupported_tokens(answers: DataFrame, keys: list[str], context_col: str, answer_col: str) -> DataFrame:
     """tokens of the answer with class 1 and probability 0.9 where the context lacks the word, else 0 and 0.1."""
-    known = answers.select(*keys, F.array_distinct(F.regexp_extract_all(F.lower(context_col), F.lit(r"[\p{L}\p{N}]++"), F.lit(0))).alias("_known"))
+    known = answers.select(*keys, F.array_distinct(F.array_remove(F.split(F.lower(context_col), r"[^\p{L}\p{N}]+", -1), "")).alias("_known"))
     rows = tokens(answers, keys, answer_col).join(known, keys)
     missing = ~F.array_contains("_known", F.lower("token"))
     return rows.select(*keys, "tok_idx", "token", "start", "end", missing.cast("int").alias("cls"), F.when(missing, 0.9).otherwise(0.1).alias("p1"))
@@ -70,3 +75,28 @@ def detect_rag(rows: DataFrame, keys: list[str], scored_tokens: DataFrame, thres
     """(spans in the answer, ratio over the whole text) from the tokens of rag_text; rows has keys and answer_start."""
     found = kept(merge_tokens(scored_tokens, keys), threshold, least).join(rows.select(*keys, "answer_start"), keys)
     return clip(found, "answer_start").drop("answer_start"), ratio(scored_tokens, keys)
+
+
+def chunked_tokens(df: DataFrame, keys: list[str], text_col: str, length: int, overlap: int, predict) -> DataFrame:
+    """keys, chunk_idx, tok_idx, start, end, cls, p1: predictions on overlapping chunks of long texts, in places of the whole text.
+
+    `predict` takes rows of keys, chunk_idx and chunk and gives keys, chunk_idx, tok_idx, start, end, cls, p1 with places in the chunk.
+    """
+    parts = claims.token_chunks(df, keys, text_col, length, overlap)
+    told = predict(parts.select(*keys, "chunk_idx", "chunk"))
+    placed = told.join(parts.select(*keys, "chunk_idx", "char_offset"), [*keys, "chunk_idx"])
+    return placed.withColumns({"start": F.col("start") + F.col("char_offset"), "end": F.col("end") + F.col("char_offset")}).drop("char_offset")
+
+
+def detect(df: DataFrame, keys: list[str], text_col: str, predict, length: int = 4096, overlap: int = 256, threshold: float = 0.5, least: int = 3) -> tuple[DataFrame, DataFrame]:
+    """(spans, ratio) of texts of any length.
+
+    A text of one chunk has its runs of target tokens as spans, with their mean; of a longer one the target tokens of all
+    chunks are merged where they overlap or touch, with the largest probability, and tokens of overlaps count twice in the ratio.
+    """
+    rows = chunked_tokens(df, keys, text_col, length, overlap, predict)
+    long = df.where(F.length(text_col) > length).select(*keys)
+    whole = kept(merge_tokens(rows.join(long, keys, "left_anti"), keys), threshold, least)
+    hits = rows.join(long, keys, "left_semi").where((F.col("cls") == 1) & (F.col("end") > F.col("start")))
+    merged = kept(merge_intervals(hits.select(*keys, "start", "end", F.col("p1").alias("p")), keys), threshold, least)
+    return whole.unionByName(merged), ratio(rows, keys)
