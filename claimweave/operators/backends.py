@@ -75,8 +75,8 @@ def mean_pooled(hidden: np.ndarray, mask: np.ndarray) -> np.ndarray:
     return mean / np.maximum(np.linalg.norm(mean, axis=1, keepdims=True), 1e-12)
 
 
-def score_pairs(pairs: DataFrame, make: Callable[[], Callable], key: str, batch: int = 16) -> DataFrame:
-    """pairs (with ctx and claim) and e, n, c of the model that `make` makes in a worker."""
+def score_texts(pairs: DataFrame, make: Callable[[], Callable], key: str, batch: int = 16) -> DataFrame:
+    """The distinct ctx and claim of pairs, and e, n, c of the model that `make` makes in a worker."""
     distinct = pairs.select("ctx", "claim").distinct()
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -88,8 +88,49 @@ def score_pairs(pairs: DataFrame, make: Callable[[], Callable], key: str, batch:
                 p = np.asarray(model(part["ctx"].tolist(), part["claim"].tolist()))
                 yield part.assign(e=p[:, 0], n=p[:, 1], c=p[:, 2])
 
-    scored = distinct.mapInPandas(run, "ctx string, claim string, e double, n double, c double")
-    return pairs.join(scored, ["ctx", "claim"]).select(*pairs.columns, "e", "n", "c")
+    return distinct.mapInPandas(run, "ctx string, claim string, e double, n double, c double")
+
+
+def score_pairs(pairs: DataFrame, make: Callable[[], Callable], key: str, batch: int = 16) -> DataFrame:
+    """pairs (with ctx and claim) and e, n, c of the model that `make` makes in a worker."""
+    return pairs.join(score_texts(pairs, make, key, batch), ["ctx", "claim"]).select(*pairs.columns, "e", "n", "c")
+
+
+def embed_texts(df: DataFrame, column: str, name: str, make: Callable[[], Callable], key: str, batch: int = 64) -> DataFrame:
+    """df with `name`_v, the vector that a model (a function of texts to an array of rows) gives each distinct text."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = once(key, make)
+        for frame in frames:
+            for lo in range(0, len(frame), batch):
+                part = frame.iloc[lo : lo + batch]
+                yield part.assign(v=list(np.asarray(model(part["_text"].tolist()), np.float64)))
+
+    told = df.select(F.col(column).alias("_text")).where("_text is not null").distinct().mapInPandas(run, "_text string, v array<double>")
+    return df.join(told.withColumnRenamed("v", f"{name}_v"), F.col(column) == F.col("_text"), "left").drop("_text")
+
+
+def onnx_embedder(folder: str) -> Callable[[list[str]], np.ndarray]:
+    """Mean-pooled vectors of length one from model.onnx, tokenizer.json and config.json of a folder."""
+    import onnxruntime
+    from tokenizers import Tokenizer
+
+    config = json.loads(Path(folder, "config.json").read_text())
+    options = onnxruntime.SessionOptions()
+    options.intra_op_num_threads = 1
+    session = onnxruntime.InferenceSession(str(Path(folder, "model.onnx")), options)
+    tokenizer = Tokenizer.from_file(str(Path(folder, "tokenizer.json")))
+    tokenizer.enable_truncation(longest_input(config))
+    tokenizer.enable_padding(pad_id=config.get("pad_token_id") or 0)
+    names = {i.name for i in session.get_inputs()}
+
+    def embed(texts: list[str]) -> np.ndarray:
+        found = tokenizer.encode_batch(texts)
+        feed = {"input_ids": [x.ids for x in found], "attention_mask": [x.attention_mask for x in found], "token_type_ids": [x.type_ids for x in found]}
+        feed = {k: np.array(v, np.int64) for k, v in feed.items()}
+        return mean_pooled(session.run(None, {k: v for k, v in feed.items() if k in names})[0], feed["attention_mask"])
+
+    return embed
 
 
 def classify_tokens(texts: DataFrame, keys: list[str], text_col: str, make: Callable[[], Callable], key: str, batch: int = 32) -> DataFrame:

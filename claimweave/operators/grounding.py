@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
-from . import claims
+from . import backends, claims
 
 # Fixed value: words that negate.
 NEGATIONS = ["no", "not", "never", "none", "cannot", "nicht", "kein", "pas", "ne", "nunca"]
@@ -94,20 +94,46 @@ def residue(own: DataFrame, matched: DataFrame) -> DataFrame:
     return own.join(matched, ["eval_id", "claim_idx"], "left_anti")
 
 
-def embedded(df: DataFrame, column: str, name: str) -> DataFrame:
+@dataclass(frozen=True)
+class Embedder:
+    """Vectors of a text column: `add` gives df with the column `name`_v, an array of `size` doubles."""
+
+    add: Callable[[DataFrame, str, str], DataFrame]
+    size: int
+
+
+LETTERS = Embedder(lambda df, column, name: df.withColumn(f"{name}_v", T.letter_vector(F.col(column))), 26)
+
+
+def embedded(df: DataFrame, column: str, name: str, embed: Embedder = LETTERS) -> DataFrame:
     """df with the vector of a text column and its length."""
-    v = T.letter_vector(F.col(column))
-    return df.withColumn(f"{name}_v", v).withColumn(f"{name}_norm", F.sqrt(T.dot(F.col(f"{name}_v"), F.col(f"{name}_v"), 26)))
+    v = F.col(f"{name}_v")
+    return embed.add(df, column, name).withColumn(f"{name}_norm", F.sqrt(T.dot(v, v, embed.size)))
+
+
+@dataclass(frozen=True)
+class ModelBackend:
+    """An entailment model behind Arrow batches: `make` is called once in a worker and gives a scorer of (premises, hypotheses)."""
+
+    make: Callable[[], Callable]
+    key: str
+    batch: int = 16
+
+    def scored(self, rows: DataFrame, where: Column) -> DataFrame:
+        """rows with e, n, c, which are null where `where` is false; the model sees each pair of texts once."""
+        told = backends.score_texts(rows.where(where).select("ctx", "claim"), self.make, self.key, self.batch)
+        told = told.select(F.col("ctx").alias("_ctx"), F.col("claim").alias("_claim"), "e", "n", "c")
+        return rows.join(told, where & (F.col("ctx") == F.col("_ctx")) & (F.col("claim") == F.col("_claim")), "left").drop("_ctx", "_claim")
 
 
-def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k_col: Column | None = None) -> DataFrame:
+def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k_col: Column | None = None, embed: Embedder = LETTERS) -> DataFrame:
     """eval_id, claim_idx, claim, ctx_idx, ctx, sim, rank: each claim's best context sentences, or all with sim null for top_k 0.
 
     Equal similarities keep the order of the context. The rank limit is planned below the window's shuffle.
     """
     k = F.lit(config.top_k) if k_col is None else k_col
-    pairs = embedded(left, "claim", "a").join(embedded(context, "ctx", "b"), "eval_id")
-    sim = T.cosine(F.col("a_v"), F.col("b_v"), 26, F.col("a_norm"), F.col("b_norm"))
+    pairs = embedded(left, "claim", "a", embed).join(embedded(context, "ctx", "b", embed), "eval_id")
+    sim = T.cosine(F.col("a_v"), F.col("b_v"), embed.size, F.col("a_norm"), F.col("b_norm"))
     every = pairs.select("eval_id", "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), T.adaptive_k(F.col("claim"), k, config.adaptive).alias("k"))
     if config.top_k == 0:
         every = every.withColumn("sim", F.lit(None).cast("double"))
@@ -118,8 +144,10 @@ def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k
     return ranked.where((F.col("rank") <= config.top_k) & (F.col("rank") <= F.col("k"))).drop("k")
 
 
-def scored(pairs: DataFrame, backend: Backend = lexical) -> DataFrame:
+def scored(pairs: DataFrame, backend: Backend | ModelBackend = lexical) -> DataFrame:
     """pairs with e, n, c, for premise ctx and hypothesis claim."""
+    if isinstance(backend, ModelBackend):
+        return backend.scored(pairs, F.lit(True))
     e, n, c = backend(F.col("ctx"), F.col("claim"))
     return pairs.withColumns({"e": e, "n": n, "c": c})
 
@@ -155,56 +183,21 @@ def classify(e: Column, n: Column, c: Column, config: Config = Config()) -> Colu
     return F.when((c >= e) & (c >= n) & (c >= config.contradiction), "contradiction").when((e >= n) & (e >= c), "entailment").otherwise("neutral")
 
 
-def verdicts_of_pairs(left: DataFrame, rows: DataFrame, config: Config = Config()) -> DataFrame:
-    """A row for each claim of `left`, from its scored pairs."""
-    score = F.greatest("e", "c")
-    usable = F.when((score > 0) | F.col("sim").isNotNull(), F.struct(score, -F.col("rank")))
-    part = is_partial(config)
-    strong = (F.col("c") >= config.contradiction) & (F.col("c") > 0)
-    grouped = rows.groupBy("eval_id", "claim_idx").agg(
-        F.max_by(F.struct("ctx_idx", "ctx", "sim", "e", "n", "c"), usable).alias("best"),
-        F.max(usable).alias("_usable"),
-        F.max(F.when(strong, F.col("c"))).alias("against"),
-        F.count(F.when(part, 1)).alias("supporting"),
-        F.avg(F.when(part, F.col("e"))).alias("_mean"),
-        F.count("*").alias("evaluated"),
-    )
-    joined = left.join(grouped, ["eval_id", "claim_idx"], "left").withColumn("best", F.when(F.col("_usable").isNotNull(), F.col("best")))
-    e, n, c = (F.coalesce(F.col(f"best.{x}"), F.lit(0.0)) for x in "enc")
-    label = classify(e, n, c, config)
-    if config.no_evidence_label != "entailment":
-        label = F.when(F.col("evaluated").isNull(), config.no_evidence_label).otherwise(label)
-    compound = T.is_compound(F.col("claim")) if config.flag_compound else F.lit(False)
-    out = joined.withColumns({"label": label, "is_compound": compound})
-    partial = F.col("is_compound") & (F.col("label") == "neutral") & F.col("against").isNull() & (F.col("supporting") >= 2)
-    out = out.withColumn("_partial", partial)
-    neutral_fine = F.lit(not config.neutral_unsupported)
-    return out.select(
-        "eval_id", "claim_idx", "claim",
-        F.when(F.col("_partial"), "partial").otherwise(F.col("label")).alias("label"),
-        F.when(F.col("_partial"), F.col("_mean")).otherwise(e).alias("e"), n.alias("n"), c.alias("c"),
-        F.when(F.col("_partial") | (F.col("label") == "entailment"), True).when(F.col("label") == "neutral", neutral_fine).otherwise(False).alias("supported"),
-        F.col("best.ctx_idx").alias("ctx_idx"), F.col("best.ctx").alias("evidence"), F.col("best.sim").alias("sim"),
-        F.col("against"), F.coalesce("evaluated", F.lit(0)).alias("evaluated"), "is_compound",
-        F.when(F.col("_partial"), F.col("supporting")).otherwise(0).alias("supporting"), F.lit(False).alias("verbatim"),
-    )
-
-
-def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend = lexical) -> DataFrame:
+def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend | ModelBackend = lexical, embed: Embedder = LETTERS) -> DataFrame:
     """A row for each claim: verbatim ones are entailed, the others go through candidates and the backend.
 
     One join of claims and context on eval_id carries all of it: the windows and the aggregate that follow
     are keyed by eval_id and claim_idx, which that partitioning satisfies. The backend sees only the
     candidates of claims without a verbatim match.
     """
-    pairs = embedded(split_claims(evals, config), "claim", "a").join(embedded(split_context(evals), "ctx", "b"), "eval_id", "left")
-    return judge(pairs, ["eval_id"], config, backend)
+    pairs = embedded(split_claims(evals, config), "claim", "a", embed).join(embedded(split_context(evals), "ctx", "b", embed), "eval_id", "left")
+    return judge(pairs, ["eval_id"], config, backend, embed.size)
 
 
-def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend: Backend = lexical) -> DataFrame:
+def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend: Backend | ModelBackend = lexical, size: int = LETTERS.size) -> DataFrame:
     """A row for each claim of `keys`, from all its pairs (embedded claims left-joined to embedded context)."""
     hit = (F.octet_length("claim_norm") >= config.min_match_bytes) & F.contains(F.col("ctx_norm"), F.col("claim_norm"))
-    sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), 26, F.col("a_norm"), F.col("b_norm"))
+    sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), size, F.col("a_norm"), F.col("b_norm"))
     rows = pairs.select(*keys, "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
     near = F.col("ctx_idx").isNotNull() if config.top_k == 0 else F.coalesce(F.col("sim") >= config.min_similarity, F.lit(False))
     per = Window.partitionBy(*keys, "claim_idx")
@@ -218,8 +211,11 @@ def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend:
     rows = rows.withColumn("near", F.col("near") & F.col("at").isNull())
     # The first row stays, so that each claim keeps one.
     rows = rows.where(F.col("near") | (F.col("ctx_idx") == F.col("at")) | (F.col("rank") == 1))
-    e, n, c = (F.when(F.col("near"), x) for x in backend(F.col("ctx"), F.col("claim")))
-    rows = rows.withColumns({"e": e, "n": n, "c": c})
+    if isinstance(backend, ModelBackend):
+        rows = backend.scored(rows, F.col("near"))
+    else:
+        e, n, c = (F.when(F.col("near"), x) for x in backend(F.col("ctx"), F.col("claim")))
+        rows = rows.withColumns({"e": e, "n": n, "c": c})
     score = F.greatest("e", "c")
     usable = F.when(F.col("near") & ((score > 0) | F.col("sim").isNotNull()), F.struct(score, -F.col("rank")))
     part, strong = F.col("near") & is_partial(config), F.col("near") & (F.col("c") >= config.contradiction) & (F.col("c") > 0)

@@ -89,4 +89,32 @@ def test_requests(spark):
     assert all(r[0] == r[1] for r in df.select(evaluations.request_error(granularity="granularity"), "want").collect())
     turns = spark.createDataFrame([(7, 0, "user", "Hello."), (7, 1, "assistant", None), (7, 2, "assistant", "Yes.")], "conv_id long, turn long, role string, text string")
     got = {r.eval_id: r for r in evaluations.from_conversations(turns).collect()}
-    assert got[7001].output == "" and got[7002].context == "Hello.\n\n" and grounding.Config().top_k == 5
+    assert got[7 * 2**31 + 1].output == "" and got[7 * 2**31 + 2].context == "Hello.\n\n" and grounding.Config().top_k == 5
+
+
+def test_evaluations_of_long_conversations_keep_apart(spark):
+    turns = spark.createDataFrame([(1, 1000, "assistant", "a."), (2, 0, "assistant", "b.")], "conv_id long, turn long, role string, text string")
+    assert len({r.eval_id for r in evaluations.from_conversations(turns).collect()}) == 2
+
+
+def test_requests_from_json(spark):
+    lines = ['{"context":[{"id":"a","text":"One."},{"text":"Two."}],"output":"One.","top_k":3}', '{"context":[],"output":"x"}', "not json", "[1]", '{"context":[{"text":"c"}],"output":"o","granularity":"token"}', None]
+    good, bad = evaluations.from_requests(spark.createDataFrame([(x,) for x in lines], "value string"))
+    r = good.collect()
+    assert len(r) == 1 and (r[0].context, r[0].output, r[0].top_k, r[0].chunks[0].id) == ("One.\n\nTwo.", "One.", 3, "a")
+    assert sorted(x.error for x in bad.collect()) == ["empty_context", "malformed", "malformed", "malformed", "unsupported_granularity"]
+
+
+def test_models_and_embeddings_plug_into_verdicts(spark):
+    rows = [(1, "The cat sat on the mat. A dog ran far away.", "The dog ran quickly away. The cat never slept at all.")]
+    evals = spark.createDataFrame(rows, "eval_id long, context string, output string")
+
+    def nli():
+        return lambda premises, hypotheses: np.array([[0.9, 0.05, 0.05] if "dog" in p and "dog" in h else [0.05, 0.05, 0.9] for p, h in zip(premises, hypotheses, strict=True)])
+
+    def vectors():
+        return lambda texts: np.array([[float("dog" in t), float("cat" in t)] for t in texts])
+
+    embed = grounding.Embedder(lambda df, column, name: backends.embed_texts(df, column, name, vectors, "pets"), 2)
+    got = {r.claim_idx: r for r in grounding.verdicts(evals, grounding.Config(), grounding.ModelBackend(nli, "nli"), embed).collect()}
+    assert [(got[i].label, got[i].evaluated, got[i].ctx_idx) for i in (0, 1)] == [("entailment", 1, 1), ("contradiction", 1, 0)]

@@ -112,3 +112,9 @@ def test_token_chunks(spark):
     texts = ["", "x" * 10, "abcdefghijklmnopqrstuvwxyz"]
     got = claims.token_chunks(frame(spark, texts), ["id"], "text", 10, 3).orderBy("id", "chunk_idx").collect()
     assert [(r.id, r.char_offset, r.chunk) for r in got] == [(1, 0, "x" * 10), (2, 0, "abcdefghij"), (2, 7, "hijklmnopq"), (2, 14, "opqrstuvwx"), (2, 21, "vwxyz")]
+
+
+def test_control_characters_stay(spark):
+    assert rows(spark, ["a\x01b c. d"]) is not None
+    got = spark.createDataFrame([("a\x01b c. Pay 3.5\x01 to Dr. No.",)], "text string").select(T.sentences(F.col("text")).alias("s")).first().s
+    assert got == ["a\x01b c.", "Pay 3.5\x01 to Dr. No."]
