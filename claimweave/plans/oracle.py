@@ -57,7 +57,7 @@ def words(x: str) -> str:
 
 
 EVALS = """evals as (
-  select c.conv_id * 1000 + c.turn as eval_id, c.conv_id, c.turn, coalesce(c.text, '') as output,
+  select c.conv_id * 2147483648 + c.turn as eval_id, c.conv_id, c.turn, coalesce(c.text, '') as output,
     coalesce((select string_agg(coalesce(p.text, ''), chr(10) || chr(10) order by p.turn) from conversations p where p.conv_id = c.conv_id and p.turn < c.turn), '') as context
   from conversations c where c.role = 'assistant')"""
 

@@ -162,12 +162,12 @@ def letter_embedding(spark, d):
 
 
 @query("""select a.vec_id as a_id, b.vec_id as b_id, round(list_dot_product(a.e, b.e) / (sqrt(list_dot_product(a.e, a.e)) * sqrt(list_dot_product(b.e, b.e))), 6) as cosine
-from (select vec_id, label, embedding::double[] as e from embeddings) a join (select vec_id, label, embedding::double[] as e from embeddings) b on a.label = b.label and a.vec_id < b.vec_id where a.vec_id % 50 = 0""")
+from (select vec_id, embedding::double[] as e from embeddings) a join (select vec_id, embedding::double[] as e from embeddings) b on a.vec_id <> b.vec_id where a.vec_id % 50 = 0""")
 def cosine_pairs(spark, d):
-    """Query vectors (every fiftieth) against all vectors of their label."""
-    rows = table(spark, d, "embeddings").select("vec_id", "label", F.col("embedding").cast("array<double>").alias("e"))
+    """Query vectors (every fiftieth) against all other vectors."""
+    rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     a, b = rows.where("vec_id % 50 = 0").alias("a"), rows.alias("b")
-    near = a.join(b, (F.col("a.label") == F.col("b.label")) & (F.col("a.vec_id") < F.col("b.vec_id")))
+    near = a.join(b, F.col("a.vec_id") != F.col("b.vec_id"))
     return near.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.round(T.cosine(F.col("a.e"), F.col("b.e"), 64), 6).alias("cosine"))
 
 
@@ -353,19 +353,25 @@ def report_rollup(spark, d):
 @query("""with g as (select item_id, trim(regexp_replace(lower(text), '\\s+', ' ', 'g'), ' ') as t from benchmark)
 select d.doc_id, g.item_id from documents d join g on contains(trim(regexp_replace(lower(d.text), '\\s+', ' ', 'g'), ' '), g.t)""")
 def benchmark_contamination(spark, d):
-    """Documents that hold a benchmark item of three words or more verbatim.
+    """Documents that hold a benchmark item verbatim, white space and case aside.
 
-    Candidates share the item's longest inner word, which is a whole word whatever stands around the item.
-    Texts join only the pairs that are left.
+    Candidates share the item's rarest inner word, counted over all documents, which is a whole word whatever stands
+    around the item. Items of at most two words have no inner word and meet all texts. Texts join only the pairs left.
     """
     flat = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     docs = _docs(spark, d).select("doc_id", flat(F.col("text")).alias("_doc"))
     items = table(spark, d, "benchmark").select("item_id", flat(F.col("text")).alias("_item"))
-    inner = F.slice(F.split("_item", " "), F.lit(2), F.greatest(F.size(F.split("_item", " ")) - 2, F.lit(0)))
-    items = items.withColumn("_key", F.array_max(F.transform(inner, lambda w: F.struct(F.length(w).alias("n"), w.alias("w"))))["w"])
+    own = F.split("_item", " ")
+    items = items.withColumn("_inner", F.slice(own, F.lit(2), F.greatest(F.size(own) - 2, F.lit(0))))
     words = docs.select("doc_id", F.explode(F.array_distinct(F.split("_doc", " "))).alias("_key"))
-    pairs = words.join(items.select("item_id", "_key"), "_key").select("doc_id", "item_id").distinct()
-    return pairs.join(docs, "doc_id").join(items, "item_id").where(F.contains("_doc", F.col("_item"))).select("doc_id", "item_id")
+    inner = items.select("item_id", F.explode(F.array_distinct("_inner")).alias("_key"))
+    often = words.join(inner.select("_key").distinct(), "_key").groupBy("_key").agg(F.count("*").alias("_n"))
+    keyed = inner.join(often, "_key").groupBy("item_id").agg(F.min(F.struct("_n", "_key")).alias("_least"), F.count("*").alias("_known"))
+    every = items.select("item_id", F.size(F.array_distinct("_inner")).alias("_words"))  # an item with a word that no document has is in none
+    keyed = keyed.join(every, "item_id").where("_known = _words").select("item_id", F.col("_least._key").alias("_key"))
+    near = words.join(keyed, "_key").select("doc_id", "item_id").join(docs, "doc_id").join(items, "item_id").where(F.contains("_doc", F.col("_item")))
+    short = docs.join(items.where(F.size("_inner") == 0), F.contains("_doc", F.col("_item")))
+    return near.select("doc_id", "item_id").unionByName(short.select("doc_id", "item_id"))
 
 
 # --- policy --------------------------------------------------------------------------------------------------
@@ -422,11 +428,11 @@ def policy_assertions(spark, d):
 
 def _outputs(spark, d):
     rows = table(spark, d, "conversations").where("role = 'assistant'")
-    return rows.select((F.col("conv_id") * 1000 + F.col("turn")).alias("output_id"), (F.col("conv_id") % len(PROMPTS)).alias("prompt_id"), F.coalesce("text", F.lit("")).alias("output"))
+    return rows.select((F.col("conv_id") * (1 << 31) + F.col("turn")).alias("output_id"), (F.col("conv_id") % len(PROMPTS)).alias("prompt_id"), F.coalesce("text", F.lit("")).alias("output"))
 
 
 _POLICY = f"""{RULES_SQL},
-outs as (select conv_id * 1000 + turn as output_id, conv_id % {len(PROMPTS)} as prompt_id, coalesce(text, '') as output from conversations where role = 'assistant'),
+outs as (select conv_id * 2147483648 + turn as output_id, conv_id % {len(PROMPTS)} as prompt_id, coalesce(text, '') as output from conversations where role = 'assistant'),
 {O.split('oc', 'outs', 'output_id', 'output', 'claim_idx', 'claim', 10)},
 held as (select o.output_id, r.rule_idx, r.prompt_id, r.constraint_type, r.assertion, (o.output_id, r.rule_idx) as eval_id from outs o join rules r using (prompt_id)),
 claims as (select h.eval_id, c.claim_idx, c.claim, c.claim_norm from held h join oc c using (output_id)),
@@ -478,7 +484,7 @@ def _guarded(spark, d, p):
 _DENY = "when tool_name = 'error' then 'Tool ''error'' is explicitly denied by policy'"
 _ALLOW = "when tool_name not in ('signup', 'click', 'view', 'purchase') then 'Tool ''' || tool_name || ''' is not in the allowed list'"
 _ORDER = "when tool_name = 'purchase' and coalesce(clicked, 0) = 0 then 'Tool ''purchase'' requires ''click'' to be called first: click first'"
-_PARAMS = """when tool_name = 'view' and try_cast(k as double) < 10 then 'Parameter ''/k'' in tool ''view'' is below minimum 10' when tool_name = 'view' and try_cast(k as double) > 90 then 'Parameter ''/k'' in tool ''view'' exceeds maximum 90'
+_PARAMS = """when tool_name = 'view' and try_cast(k as double) < 10 then 'Parameter ''/k'' in tool ''view'' is ' || k || ', which is below minimum 10' when tool_name = 'view' and try_cast(k as double) > 90 then 'Parameter ''/k'' in tool ''view'' is ' || k || ', which exceeds maximum 90'
 when tool_name = 'click' and contains(k, '7') then 'Parameter ''/k'' in tool ''click'' contains forbidden value ''7''' when tool_name = 'signup' and not regexp_matches(k, '^[0-4]') then 'Parameter ''/k'' in tool ''signup'' does not match required pattern'"""
 
 
@@ -524,26 +530,26 @@ def adversarial_variants(spark, d):
 
 
 _SOURCES = "(select distinct source as rule_id from documents)"
-_SAMPLES = "samples as (select l.doc_id as ord, l.doc_id % 2 = 1 as adversarial, case when l.toxic = 1 then d.source end as rule_id, left(d.text, 40) as response from labels l join documents d using (doc_id))"
+_SAMPLES = "samples as (select l.doc_id as ord, l.doc_id % 2 = 1 as adversarial, case when l.toxic = 1 then d.source end as rule_id, d.text as response from labels l join documents d using (doc_id))"
 
 
 def _samples(spark, d):
     rows = table(spark, d, "labels").join(_docs(spark, d).select("doc_id", "source", "text"), "doc_id")
-    return rows.select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 2 == 1).alias("adversarial"), F.when(F.col("toxic") == 1, F.array("source")).otherwise(F.array().cast("array<string>")).alias("violated"), F.substring("text", 1, 40).alias("response"))
+    return rows.select(F.col("doc_id").alias("ord"), (F.col("doc_id") % 2 == 1).alias("adversarial"), F.when(F.col("toxic") == 1, F.array("source")).otherwise(F.array().cast("array<string>")).alias("violated"), F.col("text").alias("response"))
 
 
 _RATES = f"""with {_SAMPLES}, t as (select count(*) as total, count(*) filter (where not adversarial) as nb, count(*) filter (where adversarial) as na from samples),
-g as (select rule_id, count(*) filter (where not adversarial) as vb, count(*) filter (where adversarial) as va, arg_min(response, ord) as first_bypass from samples where rule_id is not null group by all),
-r as (select s.rule_id, total, coalesce(vb, 0) + coalesce(va, 0) as v, coalesce(vb, 0)::double / nb as base_rate, coalesce(va, 0)::double / na as adv_rate, first_bypass from {_SOURCES} s left join g using (rule_id), t),
+g as (select rule_id, count(*) filter (where not adversarial) as vb, count(*) filter (where adversarial) as va, list(response order by ord)[1:3] as bypasses from samples where rule_id is not null group by all),
+r as (select s.rule_id, total, coalesce(vb, 0) + coalesce(va, 0) as v, coalesce(vb, 0)::double / nb as base_rate, coalesce(va, 0)::double / na as adv_rate, bypasses from {_SOURCES} s left join g using (rule_id), t),
 w as (select *, v::double / total as rate, (total - v)::double / total as p, total::double as n from r),
 i as (select *, (p + 3.8416 / (2 * n)) / (1 + 3.8416 / n) as centre, (1.96 / (1 + 3.8416 / n)) * sqrt(p * (1 - p) / n + 3.8416 / (4 * n * n)) as margin from w)"""
 
 
-@query(_RATES + " select rule_id, total::bigint as total, v::bigint as violations, round(rate, 6) as violation_rate, round(base_rate, 6) as base_rate, round(adv_rate, 6) as adversarial_rate, case when rate <= 0.05 then 'robust' when rate <= 0.5 then 'fragile' when rate <= 0.9 then 'weak' else 'broken' end as classification, first_bypass from i")
+@query(_RATES + " select rule_id, total::bigint as total, v::bigint as violations, round(rate, 6) as violation_rate, round(base_rate, 6) as base_rate, round(adv_rate, 6) as adversarial_rate, case when rate <= 0.05 then 'robust' when rate <= 0.5 then 'fragile' when rate <= 0.9 then 'weak' else 'broken' end as classification, bypasses[1] as bypass_1, bypasses[2] as bypass_2, bypasses[3] as bypass_3 from i")
 def rule_robustness(spark, d):
     rules = _docs(spark, d).select(F.col("source").alias("rule_id")).distinct()
     rows = robustness.rule_scores(rules, _samples(spark, d))
-    return rows.select("rule_id", "total", "violations", r6("violation_rate"), r6("base_rate"), r6("adversarial_rate"), "classification", "first_bypass")
+    return rows.select("rule_id", "total", "violations", r6("violation_rate"), r6("base_rate"), r6("adversarial_rate"), "classification", *[F.get("bypasses", F.lit(k)).alias(f"bypass_{k + 1}") for k in range(3)])
 
 
 @query(_RATES + " select rule_id, round(greatest(centre - margin, 0), 6) as ci_low, round(least(centre + margin, 1), 6) as ci_high from i")
@@ -617,7 +623,10 @@ def schema_flat(spark, d):
     return schemas.validate(table(spark, d, "events"), ["event_id"], "props", EVENT_SCHEMA).select("event_id", "valid", "n_errors")
 
 
-@query()
+@query("""with o as (select o_orderkey, o_orderstatus, o_orderpriority as a, case when o_orderkey % 3 = 0 then o_orderpriority else 'xx' end as b from orders),
+e as (select o_orderkey, list_filter([case when o_orderkey < 1 then '/id:minimum' end, case when o_orderstatus not in ('O', 'F') then '/status:enum' end, case when a = b then '/tags:uniqueItems' end,
+  case when least(length(a), length(b)) < 3 or greatest(length(a), length(b)) > 15 then '/tags/*:items' end], lambda x: x is not null) as l from o)
+select o_orderkey, len(l) = 0 as valid, len(l)::bigint as n_errors, array_to_string(list_sort(l), ',') as errors from e""")
 def schema_nested(spark, d):
     """Orders as nested JSON: objects, arrays and unique items."""
     rows = table(spark, d, "orders")
@@ -631,6 +640,31 @@ def json_depth(spark, d):
     return table(spark, d, "events").where("props is not null").select("event_id", T.json_depth(F.col("props")).alias("depth"))
 
 
+TYPED = tool_guard.Policy(
+    parameters=(
+        tool_guard.Parameter("view", "/k", "range", 10, 90), tool_guard.Parameter("view", "/v/0", "not_contains", text='"x'), tool_guard.Parameter("click", "/k", "allowed", values=(5, "7", None, True)),
+        tool_guard.Parameter("signup", "/k", "regex", text="^[0-4n]"), tool_guard.Parameter("purchase", "/k", "regex", text="(?P<x>9"),
+    )
+)
+_TYPES = ["json_extract_string(props, '$.k')", "'\"' || json_extract_string(props, '$.k') || '\"'", "'null'", "'true'", "'[1,\"a\"]'"]
+
+
+@query(f"""with c as (select event_id, event_type as tool_name, case event_id % 6 {' '.join(f'when {i} then {t}' for i, t in enumerate(_TYPES))} end as k, event_id % 4 = 0 as x from events),
+t as (select *, case when k like '"%' then substr(k, 2, length(k) - 2) else k end as s, regexp_matches(k, '^[0-9]') as num from c)
+select event_id, case when tool_name = 'view' and num and k::double < 10 then 'Parameter ''/k'' in tool ''view'' is ' || k || ', which is below minimum 10' when tool_name = 'view' and num and k::double > 90 then 'Parameter ''/k'' in tool ''view'' is ' || k || ', which exceeds maximum 90'
+when tool_name = 'view' and x then 'Parameter ''/v/0'' in tool ''view'' contains forbidden value ''"x''' when tool_name = 'click' and k not in ('5', '"7"', 'null', 'true') then 'Parameter ''/k'' in tool ''click'' has invalid value: ' || k
+when tool_name = 'signup' and not regexp_matches(s, '^[0-4n]') then 'Parameter ''/k'' in tool ''signup'' does not match required pattern' when tool_name = 'purchase' and k is not null then 'Invalid regex pattern: (?P<x>9' end as reason from t""")
+def tool_guard_types(spark, d):
+    """Rules on numbers, strings, null, booleans, arrays and missing values, and a pattern that is refused."""
+    rows, k = table(spark, d, "events"), F.get_json_object("props", "$.k")
+    kinds = F.array(k, F.concat(F.lit('"'), k, F.lit('"')), F.lit("null"), F.lit("true"), F.lit('[1,"a"]'), F.lit(None).cast("string"))
+    made = F.get(kinds, (F.col("event_id") % 6).cast("int"))
+    first = F.when(F.col("event_id") % 4 == 0, '"v":["xy"]').otherwise('"v":{"0":"a"}')
+    arguments = F.concat(F.lit("{"), F.coalesce(F.concat(F.lit('"k":'), made, F.lit(",")), F.lit("")), first, F.lit("}"))
+    calls = rows.select("event_id", F.col("event_id").cast("string").alias("session_id"), F.lit(0).alias("call_index"), F.col("event_type").alias("tool_name"), arguments.alias("arguments"))
+    return tool_guard.judge_log(calls, TYPED).select("event_id", "reason")
+
+
 @query(_guard_sql(_DENY, _ALLOW, _ORDER, _PARAMS) + " select session_id, call_index, tool_name, reason, reason is null as allowed from judged")
 def tool_guard_full(spark, d):
     return _guarded(spark, d, GUARD)
