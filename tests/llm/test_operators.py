@@ -192,6 +192,49 @@ def test_marginals_are_exact():
         assert np.allclose(good[text == t], weights[:, 1] / weights.sum(axis=1))
 
 
+def features(text):
+    """The features of each line with a word, by plain Python."""
+    lines = [x for x in text.split("\n") if WORD.search(x)]
+    out = []
+    for line in lines:
+        words, raw = WORD.findall(line), line.encode()
+        inside = sum(len(w.encode()) for w in words)
+        pairs = list(zip(words, words[1:], strict=False))
+        letters = max(1, sum(1 for c in line if (c.isascii() and c.isalpha()) or ord(c) > 127))
+        count = lambda chars, own=line: sum(c in chars for c in own)
+        out.append([
+            1, np.log1p(inside) / 8, min(count("#*$%&|<>!=@^~{}[]_\\/") / inside * 4, 2), min(count("#*$%&|<>!=@^~{}[]_\\/") / len(words), 3) / 3,
+            sum(c.isascii() and c.isupper() for c in line) / letters, sum(a == b for a, b in pairs) / len(words), 1 - len(set(words)) / len(words), (len(pairs) - len(set(pairs))) / len(words),
+            min(np.log2(lines.count(line)), 4) / 4, min(count("0123456789") / inside * 4, 2), min(inside / len(words) / 10, 2), sum(len(w.encode()) > 20 for w in words) / len(words), min(count(".!?") / len(words) * 4, 2), float(len(words) <= 3),
+        ])
+        assert len(raw) >= inside
+    return out
+
+
+def test_line_features_and_scores_by_brute_force(texts):
+    some = [t for t in texts if t and len(t) < 2000]
+    buf, at = kernels.texts(pa.array(some))
+    own, text, size = crf.line_features(buf, at)
+    want = [features(t) for t in some]
+    assert np.allclose(own, np.array([x for f in want for x in f])) and np.bincount(text, minlength=len(some)).tolist() == list(map(len, want))
+    rng = np.random.default_rng(5)
+    model = crf.Model(rng.normal(size=3 * crf.N_OWN), rng.normal(size=(2, 2)), 1.3, -0.2)
+    got = crf.score_slice(model, buf, at)
+    for t, (doc, rows) in enumerate(zip(some, want, strict=True)):
+        if not 0 < len(rows) <= 6:
+            continue
+        nil = [0.0] * crf.N_OWN
+        emission = [np.dot(model.emission, [*r, *(rows[i - 1] if i else nil), *(rows[i + 1] if i + 1 < len(rows) else nil)]) for i, r in enumerate(rows)]
+        good, every = np.zeros(len(rows)), 0.0
+        for code in range(2 ** len(rows)):
+            y = [(code >> i) & 1 for i in range(len(rows))]
+            w = np.exp(sum(e for e, v in zip(emission, y, strict=True) if v) + sum(model.transition[a, b] for a, b in zip(y, y[1:], strict=False)))
+            good, every = good + w * np.array(y), every + w
+        weight = np.array([len(x.encode()) for x in doc.split("\n") if WORD.search(x)])
+        share = np.clip((good / every * weight).sum() / weight.sum(), 1e-4, 1 - 1e-4)
+        assert np.isclose(got[t], 1 / (1 + np.exp(-(1.3 * np.log(share / (1 - share)) - 0.2))))
+
+
 def test_quality(spark, docs, empty, texts):
     rng = random.Random(4)
     rows, labels = [], []
@@ -286,6 +329,53 @@ def test_mixed_disguises(text, found):
     assert [(pii.KINDS[k], text[s:e]) for k, s, e in added] == found
 
 
+def test_the_prefilter_changes_nothing():
+    rng = random.Random(12)
+    parts = ["john", "@", " at ", "(at)", "[dot]", " dot ", "example", ".com", "one", " two ", "three", "4", "192", ".", " ", "+", "plus ", "４", "а", "ｅ", "\u200b", "。", "4111 1111 1111 111", "l", "oh", "zero-", "\n", "<", "é", "中", "point "]
+    made = ["".join(rng.choice(parts) for _ in range(rng.randrange(1, 14))) for _ in range(6000)]
+    want = []
+    for t in made:
+        base = base_spans(t)
+        want.append((sorted(base), pii.disguised(t, base)))
+    got = [(b, a) for b, a in pii.find_spans(pa.array(made))]
+    assert got == want and sum(1 for _, a in want if a) > 100
+
+
+def mapped_brute(text):
+    """Look-alikes alone, one character at a time: spans of the plain text, put back by place."""
+    plain, place = "", []
+    for i, c in enumerate(text):
+        p = pii.plain_character(c)
+        plain += p
+        place += [i] * len(p)
+    return [(k, place[s], place[e - 1] + 1) for k, s, e in base_spans(plain)] if plain != text else []
+
+
+def test_added_spans_of_look_alikes_by_brute_force():
+    rng = random.Random(13)
+    parts = ["jo", "ｈｎ", "@", "ex", "а", ".", "сom", "４１", "11-", "1111", "1", "+4", "\u200b", "é", "。", "-"]
+    hits = 0
+    for _ in range(4000):
+        t = "".join(rng.choice(parts) for _ in range(rng.randrange(1, 16)))
+        base = base_spans(t)
+        want = sorted(x for x in mapped_brute(t) if not any(x[1] < e and s < x[2] for _, s, e in base))
+        assert pii.disguised(t, base) == want
+        hits += bool(want)
+    assert hits > 50
+
+
+@pytest.mark.parametrize(
+    "text",
+    ["1" * 300_000, " " * 300_000 + "one dot", "< " + "1" * 300_000 + "a", "1 " * 100_000 + "one", "(at " + " " * 300_000, "a at b" + " dot b" * 50_000, "ab@cd.ef " * 30_000 + "one dot", "one" * 100_000 + "x (at)"],
+)
+def test_time_grows_with_the_text(text):
+    import time
+
+    began = time.perf_counter()
+    list(pii.find_spans(pa.array([text])))
+    assert time.perf_counter() - began < 10
+
+
 def test_pii_query_and_redaction(spark, docs, empty, texts, tmp_path):
     docs.write.parquet(str(tmp_path / "documents.parquet"))
     got = by_id(queries.op4_pii(spark, str(tmp_path)))
@@ -330,12 +420,12 @@ def test_a_bad_host_takes_its_documents(spark):
 # --- 6 ---------------------------------------------------------------------------------------------------------
 
 
-def components(texts):
+def components(texts, size=2):
     fold = str.maketrans({chr(65 + i): chr(97 + i) for i in range(26)})
     sets = []
     for t in texts:
         w = WORD.findall((t or "").translate(fold))
-        sets.append(set(zip(w, w[1:], strict=False)) if len(w) > 1 else {tuple(w)} if w else set())
+        sets.append({tuple(w[k : k + size]) for k in range(max(1, len(w) - size + 1))} if w else set())
     parent = list(range(len(sets)))
 
     def find(x):
@@ -572,6 +662,89 @@ def test_decontamination(spark, docs, empty):
     assert decontamination.find_leaks(empty, items).count() == 0 and decontamination.find_leaks(df, items.where("false")).count() == 0
 
 
+WORDS = ["add", "the", "Tom", "Mary", "river", "3", "12", "kg", "apples", "4.5", "USA", "and", "Bob", "Lee", "7"]
+
+
+def template(text):
+    """(placeholder or word, value) of each template word, by plain Python."""
+    found = [(m[0], m.start(), m.end()) for m in re.finditer(r"(?:[0-9](?:[.,](?=[0-9]))?|[A-Za-z])+", text)]
+    out, last, before = [], 0, ""
+    for w, s, e in found:
+        begins = not out or any(c in ".!?\n:;\"" for c in text[last:s])
+        if w[0].isdigit():
+            kind = "NUMBER"
+        elif out and before == "NUMBER" and w.lower() in decontamination.UNITS:
+            kind = "UNIT"
+        elif not begins and w[0].isupper() and len(w) > 1 and not w[1].isupper():
+            kind = "NAME"
+        else:
+            kind = w.lower()
+        if kind == before == "NAME":
+            out[-1] = ("NAME", text[out[-1][2] : e].lower(), out[-1][2])
+        else:
+            out.append((kind, w.lower(), s))
+        last, before = e, kind
+    return [(k, v) for k, v, _ in out]
+
+
+def leaked(doc, item):
+    """Whether the item is found, by comparing every diagonal word by word."""
+    d, q = template(doc), template(item)
+    placeholder = ("NUMBER", "NAME", "UNIT")
+    if len(q) < decontamination.LEAST:
+        return False
+    size = min(decontamination.WINDOW, len(q))
+    if not any(k not in placeholder for k, _ in q):
+        size = len(q)
+    whole = len(q) - size + 1
+    seen, longest = set(), 0
+    for shift in range(-len(q), len(d) + 1):
+        same = [0 <= shift + i < len(d) and d[shift + i][0] == k for i, (k, _) in enumerate(q)]
+        hits = [i for i in range(whole) if all(same[i : i + size])]
+        if not any(any(k not in placeholder for k, _ in q[i : i + size]) or size == len(q) for i in hits):
+            continue
+        runs = []
+        for i in hits:
+            if runs and i == runs[-1][-1] + 1:
+                runs[-1].append(i)
+            else:
+                runs.append([i])
+        for run in runs:
+            there, back, bad = {}, {}, set()
+            for i in range(run[0], run[-1] + size):
+                if q[i][0] in placeholder:
+                    a, b = q[i], d[shift + i]
+                    if there.setdefault(a, b) != b or back.setdefault(b, a) != a:
+                        bad.add(i)
+            good = [i for i in run if not any(k in bad for k in range(i, i + size))]
+            seen.update(good)
+            n = 0
+            for k, i in enumerate(good):
+                n = n + 1 if k and i == good[k - 1] + 1 else 1
+                longest = max(longest, n - 1 + size)
+    return len(seen) >= decontamination.CONTAINMENT * whole or longest >= decontamination.RUN
+
+
+def test_decontamination_by_brute_force():
+    rng = random.Random(14)
+    prose = lambda n: " ".join(rng.choice(WORDS) + (". " if rng.random() < 0.08 else "") for _ in range(n))
+    items = [prose(rng.randrange(3, 14)) for _ in range(12)]
+    docs = []
+    for _ in range(400):
+        own = [prose(rng.randrange(0, 8))]
+        words = rng.choice(items).split(" ")
+        if rng.random() < 0.5:
+            words = [str(rng.randrange(3, 6)) if w.isdigit() and rng.random() < 0.7 else w for w in words]
+        if rng.random() < 0.3 and words:
+            words[rng.randrange(len(words))] = "xyz"
+        docs.append(" ".join([*own, *words, prose(rng.randrange(0, 5))]))
+    search = decontamination.Benchmark(list(range(len(items))), items)
+    buf, at = kernels.texts(pa.array(docs))
+    got = {(t, i) for t, i, *_ in search.search(buf, at)}
+    want = {(t, i) for t, doc in enumerate(docs) for i, item in enumerate(items) if leaked(doc, item)}
+    assert got == want and 100 < len(want) < 3000
+
+
 def test_numbers_alone_cost_no_more_than_they_are(spark):
     items = spark.createDataFrame([(i, " ".join(str(k + i) for k in range(30))) for i in range(50)] + [(99, "add 3 4 5 6 7 8 9 and then stop")], "item_id long, text string")
     table = " ".join(map(str, range(100, 2100)))
@@ -597,10 +770,42 @@ def test_blocks_of_the_benchmark_change_nothing(spark, monkeypatch):
     assert sorted(map(tuple, decontamination.find_leaks(df, items).collect())) == whole and len(whole) == 2
 
 
+# --- odd rows of every operator ---
+
+
+def test_repeated_rows_and_rows_without_an_id(spark):
+    rows = [(1, "one two three four five six seven", "s"), (1, "one two three four five six seven", "s"), (None, "no id here at all, none", "s"), (None, None, None), (2, "", "t")]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    items = spark.createDataFrame([(7, "one two three four five")], "item_id long, text string")
+    ids = [1, 1, 2, None, None]
+
+    def same(got):
+        assert sorted((r.doc_id for r in got.collect()), key=lambda x: (x is None, x)) == ids
+
+    for got in (packing.pack(df), crf.score(df, crf.train(df, labels)), pii.find(df), quality_rules.apply_rules(df), near_dedup.link(df), token_count.count_tokens(df), sharding.shard(df), licenses.scan(df), suffix_dedup.remove(df)):
+        same(got)
+    assert sorted(r.doc_id for r in decontamination.find_leaks(df, items).collect()) == [1, 1]
+    kept = near_dedup.keep_one(df).collect()
+    assert sorted((r.doc_id or 0) for r in kept) == [0, 0, 1, 1, 2]  # rows of one id stay together
+
+
+def test_long_texts_in_parts(spark, monkeypatch):
+    from claimweave.llm import suffix_runs
+
+    monkeypatch.setattr(suffix_runs, "PART", 512)
+    rng = random.Random(15)
+    long = "".join(rng.choice("abcd ") for _ in range(3000))
+    buf, at = kernels.texts(pa.array([long]))
+    high, low, _, _, start, more = suffix_runs.runs(buf, at)
+    covered = sorted(s + k for s, m in zip(start.tolist(), more.tolist(), strict=True) for k in range(m + 1))
+    assert covered == list(range(len(long) - 49)) and len(high) == len(low)
+
+
 # --- pipeline --------------------------------------------------------------------------------------------------
 
 
-def test_pipeline(spark, docs, texts, tmp_path):
+def test_pipeline(spark, docs, texts, tmp_path, library):
     import corpus_pipeline
 
     docs.write.parquet(str(tmp_path / "documents.parquet"))
@@ -616,3 +821,18 @@ def test_pipeline(spark, docs, texts, tmp_path):
     last = now.select("doc_id").collect()
     out = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert {r.doc_id for r in out} == {r.doc_id for r in last}
+    # The stages by brute force, but for the classifier, whose marginals and features have tests of their own.
+    model = crf.train(docs, spark.read.parquet(str(tmp_path / "labels.parquet")))
+    left = sorted(i for i, r in by_id(crf.score(docs, model)).items() if r.score >= 0.3)
+    left = [left[k] for k, (_, c, _) in enumerate(components([texts[i] for i in left], 5)) if c == k]
+    left = [i for i in left if not any(leaked(texts[i] or "", item or "") for _, item in ITEMS)]
+    clean = {}
+    for i in left:
+        base = base_spans(texts[i] or "")
+        clean[i] = pii.redact_text(texts[i] or "", base + pii.disguised(texts[i] or "", base))
+    want = {i: len(library.encode(t, add_special_tokens=False).ids) + 1 for i, t in clean.items()}
+    assert {r.doc_id: r.doc_tokens for r in out} == want
+    total = Counter()
+    for r in out:
+        total[r.doc_id] += r.length
+    assert dict(total) == want and 0 < len(want) < len(texts)
