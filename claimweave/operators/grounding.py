@@ -94,21 +94,19 @@ def residue(own: DataFrame, matched: DataFrame) -> DataFrame:
     return own.join(matched, ["eval_id", "claim_idx"], "left_anti")
 
 
-@dataclass(frozen=True)
-class Embedder:
-    """Vectors of a text column: `add` gives df with the column `name`_v, an array of `size` doubles."""
-
-    add: Callable[[DataFrame, str, str], DataFrame]
-    size: int
+#: Vectors of a text column: (df, column, name) gives df with `name`_v, an array of doubles.
+Embedder = Callable[[DataFrame, str, str], DataFrame]
 
 
-LETTERS = Embedder(lambda df, column, name: df.withColumn(f"{name}_v", T.letter_vector(F.col(column))), 26)
+def letters(df: DataFrame, column: str, name: str) -> DataFrame:
+    """The deterministic embedding for tests and offline runs."""
+    return df.withColumn(f"{name}_v", T.letter_vector(F.col(column)))
 
 
-def embedded(df: DataFrame, column: str, name: str, embed: Embedder = LETTERS) -> DataFrame:
+def embedded(df: DataFrame, column: str, name: str, embed: Embedder = letters) -> DataFrame:
     """df with the vector of a text column and its length."""
     v = F.col(f"{name}_v")
-    return embed.add(df, column, name).withColumn(f"{name}_norm", F.sqrt(T.dot(v, v, embed.size)))
+    return embed(df, column, name).withColumn(f"{name}_norm", F.sqrt(T.dot(v, v)))
 
 
 @dataclass(frozen=True)
@@ -126,14 +124,14 @@ class ModelBackend:
         return rows.join(told, where & (F.col("ctx") == F.col("_ctx")) & (F.col("claim") == F.col("_claim")), "left").drop("_ctx", "_claim")
 
 
-def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k_col: Column | None = None, embed: Embedder = LETTERS) -> DataFrame:
+def candidates(left: DataFrame, context: DataFrame, config: Config = Config(), k_col: Column | None = None, embed: Embedder = letters) -> DataFrame:
     """eval_id, claim_idx, claim, ctx_idx, ctx, sim, rank: each claim's best context sentences, or all with sim null for top_k 0.
 
     Equal similarities keep the order of the context. The rank limit is planned below the window's shuffle.
     """
     k = F.lit(config.top_k) if k_col is None else k_col
     pairs = embedded(left, "claim", "a", embed).join(embedded(context, "ctx", "b", embed), "eval_id")
-    sim = T.cosine(F.col("a_v"), F.col("b_v"), embed.size, F.col("a_norm"), F.col("b_norm"))
+    sim = T.cosine(F.col("a_v"), F.col("b_v"), F.col("a_norm"), F.col("b_norm"))
     every = pairs.select("eval_id", "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), T.adaptive_k(F.col("claim"), k, config.adaptive).alias("k"))
     if config.top_k == 0:
         every = every.withColumn("sim", F.lit(None).cast("double"))
@@ -183,7 +181,7 @@ def classify(e: Column, n: Column, c: Column, config: Config = Config()) -> Colu
     return F.when((c >= e) & (c >= n) & (c >= config.contradiction), "contradiction").when((e >= n) & (e >= c), "entailment").otherwise("neutral")
 
 
-def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend | ModelBackend = lexical, embed: Embedder = LETTERS) -> DataFrame:
+def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend | ModelBackend = lexical, embed: Embedder = letters) -> DataFrame:
     """A row for each claim: verbatim ones are entailed, the others go through candidates and the backend.
 
     One join of claims and context on eval_id carries all of it: the windows and the aggregate that follow
@@ -191,13 +189,13 @@ def verdicts(evals: DataFrame, config: Config = Config(), backend: Backend | Mod
     candidates of claims without a verbatim match.
     """
     pairs = embedded(split_claims(evals, config), "claim", "a", embed).join(embedded(split_context(evals), "ctx", "b", embed), "eval_id", "left")
-    return judge(pairs, ["eval_id"], config, backend, embed.size)
+    return judge(pairs, ["eval_id"], config, backend)
 
 
-def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend: Backend | ModelBackend = lexical, size: int = LETTERS.size) -> DataFrame:
+def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend: Backend | ModelBackend = lexical) -> DataFrame:
     """A row for each claim of `keys`, from all its pairs (embedded claims left-joined to embedded context)."""
     hit = (F.octet_length("claim_norm") >= config.min_match_bytes) & F.contains(F.col("ctx_norm"), F.col("claim_norm"))
-    sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), size, F.col("a_norm"), F.col("b_norm"))
+    sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), F.col("a_norm"), F.col("b_norm"))
     rows = pairs.select(*keys, "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
     near = F.col("ctx_idx").isNotNull() if config.top_k == 0 else F.coalesce(F.col("sim") >= config.min_similarity, F.lit(False))
     per = Window.partitionBy(*keys, "claim_idx")

@@ -168,7 +168,7 @@ def cosine_pairs(spark, d):
     rows = table(spark, d, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("e"))
     a, b = rows.where("vec_id % 50 = 0").alias("a"), rows.alias("b")
     near = a.join(b, F.col("a.vec_id") != F.col("b.vec_id"))
-    return near.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.round(T.cosine(F.col("a.e"), F.col("b.e"), 64), 6).alias("cosine"))
+    return near.select(F.col("a.vec_id").alias("a_id"), F.col("b.vec_id").alias("b_id"), F.round(T.cosine(F.col("a.e"), F.col("b.e")), 6).alias("cosine"))
 
 
 _PAIRS = "select eval_id, claim_idx::int as claim_idx, ctx_idx::int as ctx_idx, round(sim, 6) as sim, rank::int as rank from cand"

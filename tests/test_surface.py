@@ -115,6 +115,8 @@ def test_models_and_embeddings_plug_into_verdicts(spark):
     def vectors():
         return lambda texts: np.array([[float("dog" in t), float("cat" in t)] for t in texts])
 
-    embed = grounding.Embedder(lambda df, column, name: backends.embed_texts(df, column, name, vectors, "pets"), 2)
+    def embed(df, column, name):
+        return backends.embed_texts(df, column, name, vectors, "pets")
+
     got = {r.claim_idx: r for r in grounding.verdicts(evals, grounding.Config(), grounding.ModelBackend(nli, "nli"), embed).collect()}
     assert [(got[i].label, got[i].evaluated, got[i].ctx_idx) for i in (0, 1)] == [("entailment", 1, 1), ("contradiction", 1, 0)]
