@@ -128,8 +128,12 @@ def latency_percentiles(spark, d):
     from pyspark.sql.window import Window
 
     total = counts.agg(F.sum("n").alias("total"), F.sum(F.col("n") * F.col("value")).alias("sum"))
-    upto = F.sum("n").over(Window.orderBy("value"))
-    placed = counts.withColumn("upto", upto).join(F.broadcast(total))  # one row
+    # Sums over ranges first, so that no task orders all values.
+    ranged = counts.withColumn("_range", F.floor("value"))
+    ranges = ranged.groupBy("_range").agg(F.sum("n").alias("_all"))
+    ranges = ranges.select("_range", F.coalesce(F.sum("_all").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
+    upto = F.sum("n").over(Window.partitionBy("_range").orderBy("value")) + F.col("_before")
+    placed = ranged.join(ranges, "_range").withColumn("upto", upto).join(F.broadcast(total))  # one row
     pick = lambda q: F.min(F.when(F.col("upto") > F.floor(F.col("total") * q), F.col("value")))
     one = placed.agg(F.max(F.col("sum") / F.col("total")).alias("mean"), pick(0.95).alias("p95"), pick(0.99).alias("p99"))
     return one.select(F.explode(F.create_map(*[x for n in ("mean", "p95", "p99") for x in (F.lit(n), F.round(n, 4))])).alias("stat", "value"))

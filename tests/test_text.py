@@ -118,3 +118,17 @@ def test_control_characters_stay(spark):
     assert rows(spark, ["a\x01b c. d"]) is not None
     got = spark.createDataFrame([("a\x01b c. Pay 3.5\x01 to Dr. No.",)], "text string").select(T.sentences(F.col("text")).alias("s")).first().s
     assert got == ["a\x01b c.", "Pay 3.5\x01 to Dr. No."]
+
+
+def test_sql_names(spark):
+    from claimweave.functions import sql
+
+    assert "claims_of" in sql.register(spark)
+    texts = ["Dr. No paid 3.5 dollars. Why?  Because; he can.", " A, and B, but not \u00a0 'C'!", "", "x" * 200]
+    df = spark.createDataFrame([(i, t, [1.0, float(i)]) for i, t in enumerate(texts)], "id long, t string, v array<double>")
+    df.createOrReplaceTempView("sql_texts")
+    got = spark.sql("select id, claim_sentences(t) as s, claim_normalized(t) as n, claim_is_compound(t) as c, claim_adaptive_k(t, 10) as k, claim_input_hash(t, null, t) as h, vector_cosine(v, array(1D, 1D)) as x from sql_texts").orderBy("id").collect()
+    t = F.col("t")
+    want = df.select("id", T.sentences(t).alias("s"), T.normalized(t).alias("n"), T.is_compound(t).alias("c"), T.adaptive_k(t, 10).alias("k"), T.input_hash(t, F.lit(None).cast("string"), t).alias("h"), T.cosine(F.col("v"), F.array(F.lit(1.0), F.lit(1.0))).alias("x"))
+    assert got == want.orderBy("id").collect()
+    assert [r.sentence for r in spark.sql("select * from claims_of('One. Two.') order by idx").collect()] == ["One.", "Two."]
