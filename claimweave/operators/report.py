@@ -26,6 +26,20 @@ def verdict_details(judged: DataFrame) -> DataFrame:
     return rows.select("eval_id", F.transform("_d", lambda x: x["d"]).alias("details"))
 
 
+def span_details(spans: DataFrame, texts: DataFrame, text_col: str) -> DataFrame:
+    """eval_id, details of the spans (eval_id, start, end, p) found in a text, in order; the label is the span's text."""
+    one = F.struct(F.lit("span").alias("kind"), F.substring(F.col(text_col), (F.col("start") + 1).cast("int"), (F.col("end") - F.col("start")).cast("int")).alias("label"), F.col("p").alias("confidence"), F.col("start"), F.col("end"))
+    rows = spans.join(texts.select("eval_id", text_col), "eval_id").groupBy("eval_id").agg(F.array_sort(F.collect_list(F.struct("start", "end", one.alias("d")))).alias("_d"))
+    return rows.select("eval_id", F.transform("_d", lambda x: x["d"]).alias("details"))
+
+
+def schema_details(validated: DataFrame) -> DataFrame:
+    """eval_id, details of the errors of a validated JSON text; the label is the path and the keyword broken."""
+    none = F.lit(None).cast("long")
+    one = F.transform("errors", lambda e: F.struct(F.lit("schema").alias("kind"), F.concat_ws(": ", e["path"], e["kind"]).alias("label"), F.lit(None).cast("double").alias("confidence"), none.alias("start"), none.alias("end")))
+    return validated.where(F.size("errors") > 0).select("eval_id", one.alias("details"))
+
+
 def reports(evals: DataFrame, results: DataFrame, version: str, models: dict[str, str] | None = None, created: str | None = None, question: Column | None = None) -> DataFrame:
     """A report for each evaluation: its input's hash, its module results in order of name, all_passed (true without results)."""
     one = F.struct("module", "score", "threshold", "passed", "details")

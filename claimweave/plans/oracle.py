@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from ..functions.text import ABBREVIATIONS, COMPOUND, LETTERS
-from ..operators.grounding import NEGATIONS
-
+# Fixed values, written here again, so that a fault in the operators' lists shows.
+ABBREVIATIONS = ["Mr", "Mrs", "Ms", "Dr", "Prof", "Sr", "Jr", "vs", "etc"]
+COMPOUND = [", and ", ", but ", ", while ", ", whereas ", ", although ", ", which ", ", who ", ", where ", "; ", " — ", " – "]
+LETTERS = [chr(c) for c in range(97, 123)]
+NEGATIONS = ["no", "not", "never", "none", "cannot", "nicht", "kein", "pas", "ne", "nunca"]
 WHITE = r"[\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
 NEG = "[" + ",".join(f"'{w}'" for w in NEGATIONS) + "]"
 

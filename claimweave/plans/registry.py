@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import claims, grounding, policy, robustness, schemas, spans, tool_guard
+from ..operators import claims, grounding, policy, report, robustness, schemas, spans, tool_guard
 from ..sources import evaluations
 from ..sources.tables import table
 from . import oracle as O
@@ -587,6 +587,15 @@ def token_span_merge(spark, d):
     return rows.select("eval_id", "start", "end", r6("p"))
 
 
+@query(f"with {_TOKENS} select i.eval_id, string_agg(substr(v.output, s::int + 1, (e - s)::int) || '@' || s::bigint || '-' || e::bigint, '|' order by s) as details, count(*)::bigint as n from islands i join evals v using (eval_id) where p >= 0.5 and e - s >= 3 group by all")
+def span_details(spark, d):
+    """The details of a report on unsupported spans."""
+    found = spans.kept(spans.merge_tokens(_answer_tokens(spark, d), ["eval_id"]))
+    rows = report.span_details(found, _evals(spark, d), "output")
+    shown = F.transform("details", lambda x: F.concat(x["label"], F.lit("@"), x["start"].cast("string"), F.lit("-"), x["end"].cast("string")))
+    return rows.select("eval_id", F.array_join(shown, "|").alias("details"), F.size("details").cast("long").alias("n"))
+
+
 _INTERVALS = """with x as (select user_id, event_id, floor(value)::bigint as s, floor(value)::bigint + 1 + event_id % 3 as e, (event_id % 10) / 10.0 as p from events),
 y as (select *, max(e) over (partition by user_id order by s, e rows between unbounded preceding and 1 preceding) as reach from x),
 z as (select *, sum(case when reach is null or s > reach then 1 else 0 end) over (partition by user_id order by s, e rows unbounded preceding) as isl from y)
@@ -627,6 +636,15 @@ def schema_flat(spark, d):
     return schemas.validate(table(spark, d, "events"), ["event_id"], "props", EVENT_SCHEMA).select("event_id", "valid", "n_errors")
 
 
+@query("""with k as (select event_id, json_extract_string(props, '$.k')::int as k from events), l as (select event_id, list_filter([case when k < 5 then '/k: minimum' end, case when k >= 95 then '/k: exclusiveMaximum' end, case when k = 42 then '/k: not' end], lambda x: x is not null) as l from k)
+select event_id as eval_id, array_to_string(list_sort(l), '|') as details from l where len(l) > 0""")
+def schema_details(spark, d):
+    """The details of a report on JSON that breaks its schema."""
+    made = schemas.validate(table(spark, d, "events").withColumn("eval_id", F.col("event_id")), ["eval_id"], "props", EVENT_SCHEMA)
+    rows = report.schema_details(made)
+    return rows.select("eval_id", F.array_join(F.array_sort(F.transform("details", lambda x: x["label"])), "|").alias("details"))
+
+
 @query("""with o as (select o_orderkey, o_orderstatus, o_orderpriority as a, case when o_orderkey % 3 = 0 then o_orderpriority else 'xx' end as b from orders),
 e as (select o_orderkey, list_filter([case when o_orderkey < 1 then '/id:minimum' end, case when o_orderstatus not in ('O', 'F') then '/status:enum' end, case when a = b then '/tags:uniqueItems' end,
   case when least(length(a), length(b)) < 3 or greatest(length(a), length(b)) > 15 then '/tags/*:items' end], lambda x: x is not null) as l from o)
