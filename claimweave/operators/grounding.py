@@ -196,19 +196,18 @@ def judge(pairs: DataFrame, keys: list[str], config: Config = Config(), backend:
     """A row for each claim of `keys`, from all its pairs (embedded claims left-joined to embedded context)."""
     hit = (F.octet_length("claim_norm") >= config.min_match_bytes) & F.contains(F.col("ctx_norm"), F.col("claim_norm"))
     sim = F.lit(None).cast("double") if config.top_k == 0 else T.cosine(F.col("a_v"), F.col("b_v"), F.col("a_norm"), F.col("b_norm"))
-    rows = pairs.select(*keys, "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), hit.alias("hit"))
+    rows = pairs.select(*keys, "claim_idx", "claim", "ctx_idx", "ctx", sim.alias("sim"), F.coalesce(hit, F.lit(False)).alias("hit"))
     near = F.col("ctx_idx").isNotNull() if config.top_k == 0 else F.coalesce(F.col("sim") >= config.min_similarity, F.lit(False))
     per = Window.partitionBy(*keys, "claim_idx")
-    rows = rows.withColumn("near", near).withColumns({
-        "at": F.min(F.when(F.col("hit"), F.col("ctx_idx"))).over(per),
-        "rank": F.row_number().over(per.orderBy(F.col("near").desc(), F.col("sim").desc(), "ctx_idx")),
-    })
+    # The first verbatim sentence comes first, so that a constant limit on the rank (planned below the window, on each
+    # task's own rows) keeps it, or else the best candidates, or else one row of a claim without any.
+    first = per.orderBy(F.when(F.col("hit"), F.col("ctx_idx")).asc_nulls_last(), F.col("near").desc(), F.col("sim").desc(), "ctx_idx")
+    rows = rows.withColumn("near", near).withColumn("rank", F.row_number().over(first))
     if config.top_k:
-        k = T.adaptive_k(F.col("claim"), config.top_k, config.adaptive)
-        rows = rows.withColumn("near", F.col("near") & (F.col("rank") <= k))
-    rows = rows.withColumn("near", F.col("near") & F.col("at").isNull())
-    # The first row stays, so that each claim keeps one.
-    rows = rows.where(F.col("near") | (F.col("ctx_idx") == F.col("at")) | (F.col("rank") == 1))
+        rows = rows.where(F.col("rank") <= config.top_k)
+        rows = rows.withColumn("near", F.col("near") & (F.col("rank") <= T.adaptive_k(F.col("claim"), config.top_k, config.adaptive)))
+    rows = rows.withColumn("at", F.min(F.when(F.col("hit"), F.col("ctx_idx"))).over(per))
+    rows = rows.withColumn("near", F.col("near") & F.col("at").isNull()).where(F.col("near") | (F.col("rank") == 1))
     if isinstance(backend, ModelBackend):
         rows = backend.scored(rows, F.col("near"))
     else:
