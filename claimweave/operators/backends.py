@@ -146,3 +146,51 @@ def classify_tokens(texts: DataFrame, keys: list[str], text_col: str, make: Call
                 yield pd.DataFrame(rows, columns=[*keys, "tok_idx", "start", "end", "cls", "p1"])
 
     return texts.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text")).mapInPandas(run, f"{kinds}, tok_idx long, start long, end long, cls int, p1 double")
+
+
+def tokenizer(path: str) -> Callable:
+    """`make` of a tokenizer from its tokenizer.json."""
+
+    def make():
+        from tokenizers import Tokenizer
+
+        return Tokenizer.from_file(path)
+
+    return make
+
+
+def token_counter(make: Callable[[], Callable]) -> Callable:
+    """`make` of a function of texts to their numbers of tokens, without special ones."""
+
+    def counter():
+        found = make()
+        return lambda texts: [len(x.ids) for x in found.encode_batch(texts, add_special_tokens=False)]
+
+    return counter
+
+
+def tokenize(texts: DataFrame, keys: list[str], text_col: str, make: Callable[[], Callable], key: str, most: int = 512, special: bool = True) -> DataFrame:
+    """keys, ids, starts, ends (characters), n_tokens: the first `most` tokens of each text, and how many it has; a null text is empty."""
+    kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = once(key, make)
+        for frame in frames:
+            told = found.encode_batch(frame["_text"].tolist(), add_special_tokens=special)
+            at = [x.offsets[:most] for x in told]
+            yield frame[keys].assign(ids=[x.ids[:most] for x in told], starts=[[s for s, _ in x] for x in at], ends=[[e for _, e in x] for x in at], n_tokens=[len(x.ids) for x in told])
+
+    rows = texts.select(*keys, F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
+    return rows.mapInPandas(run, f"{kinds}, ids array<int>, starts array<int>, ends array<int>, n_tokens long")
+
+
+def decode(rows: DataFrame, keys: list[str], ids_col: str, make: Callable[[], Callable], key: str, skip_special: bool = True) -> DataFrame:
+    """keys, text of lists of token ids; a null list gives null."""
+    kinds = ", ".join(f"`{k}` {rows.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        found = once(key, make)
+        for frame in frames:
+            yield frame[keys].assign(text=[None if x is None else found.decode([int(i) for i in x], skip_special_tokens=skip_special) for x in frame["_ids"]])
+
+    return rows.select(*keys, F.col(ids_col).alias("_ids")).mapInPandas(run, f"{kinds}, text string")

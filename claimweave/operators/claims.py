@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import text as T
+from . import backends
 
 
 def explode_sentences(df: DataFrame, keys: list[str], text_col: str) -> DataFrame:
@@ -47,3 +52,42 @@ def token_chunks(df: DataFrame, keys: list[str], text_col: str, length: int, ove
     starts = F.when(n <= length, F.array(F.lit(0))).otherwise(F.sequence(F.lit(0), n - 1, F.lit(stride)))
     rows = df.where(n > 0).select(*keys, F.col(text_col).alias("_text"), F.posexplode(starts).alias("chunk_idx", "char_offset"))
     return rows.select(*keys, "chunk_idx", F.substring(F.col("_text"), F.col("char_offset") + 1, F.lit(length)).alias("chunk"), "char_offset")
+
+
+def packed(sizes: list[int], most: int, overlap: int) -> list[tuple[int, int]]:
+    """(first, end) of runs of sentences of at most `most` tokens, or of one that is longer.
+
+    A run begins with the shortest end of the run before it that has `overlap` tokens, at least its last sentence,
+    and always goes on to a new sentence.
+    """
+    total = np.append(0, np.cumsum(np.asarray(sizes, np.int64)))
+    out, first, end = [], 0, 0
+    while end < len(sizes):
+        end = max(end + 1, int(np.searchsorted(total, total[first] + most, "right")) - 1)
+        out.append((first, end))
+        first = max(first, min(end - 1, int(np.searchsorted(total, total[end] - overlap, "right")) - 1))
+    return out
+
+
+def budget_chunks(df: DataFrame, keys: list[str], text_col: str, make: Callable[[], Callable], key: str, most: int, overlap: int) -> DataFrame:
+    """keys, chunk_idx, chunk: runs of whole sentences within a budget of tokens, a blank between them; null texts have none.
+
+    `make` gives a counter (texts to numbers of tokens) in a worker. A text within the budget, one without a sentence,
+    and any text where `most` is 0, is its only chunk, as it stands.
+    """
+    kinds = ", ".join(f"`{k}` {df.schema[k].dataType.simpleString()}" for k in keys)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        count = backends.once(key, make)
+        for frame in frames:
+            whole, rows = count(frame["_text"].tolist()), []
+            for own, text, sentences, n in zip(frame[keys].itertuples(index=False, name=None), frame["_text"], frame["_sentences"], whole, strict=True):
+                listed = list(sentences)
+                if not most or n <= most or not listed:
+                    rows.append((*own, 0, text))
+                else:
+                    rows += [(*own, i, " ".join(listed[a:b])) for i, (a, b) in enumerate(packed(count(listed), most, overlap))]
+            yield pd.DataFrame(rows, columns=[*keys, "chunk_idx", "chunk"])
+
+    texts = df.where(F.col(text_col).isNotNull()).select(*keys, F.col(text_col).alias("_text"), T.sentences(F.col(text_col)).alias("_sentences"))
+    return texts.mapInPandas(run, f"{kinds}, chunk_idx int, chunk string")

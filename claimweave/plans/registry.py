@@ -95,6 +95,27 @@ def token_chunks(spark, d):
     return claims.token_chunks(_docs(spark, d), ["doc_id"], "text", 512, 50)
 
 
+def _word_counter():
+    import re
+
+    word = re.compile("[A-Za-z0-9]+")
+    return lambda texts: [len(word.findall(t)) for t in texts]
+
+
+_N = lambda x: f"len(regexp_extract_all({x}, '[A-Za-z0-9]+'))"
+
+
+@query(f"""with recursive s as (select doc_id, text, {O.sentences('text')} as l from documents where text is not null),
+c as (select doc_id, text, l, {_N('text')} as n, list_prepend(0::hugeint, list_transform(range(1, len(l) + 1), lambda i: list_sum(list_transform(l[1:i], lambda x: {_N('x')})))) as t from s),
+g as (select doc_id, 0 as chunk_idx, 0::bigint as a, greatest(1, len(list_filter(t, lambda x: x <= 60)) - 1)::bigint as b from c where n > 60 and len(l) > 0
+union all select doc_id, chunk_idx + 1, a2, greatest(b + 1, len(list_filter(t, lambda x: x <= t[a2 + 1] + 60)) - 1)::bigint from (
+  select g.doc_id, g.chunk_idx, g.b, c.t, len(c.l) as m, greatest(g.a, least(g.b - 1, len(list_filter(c.t, lambda x: x <= c.t[g.b + 1] - 15)) - 1))::bigint as a2 from g join c on c.doc_id = g.doc_id) where b < m)
+select doc_id, 0 as chunk_idx, text as chunk from c where n <= 60 or len(l) = 0 union all select g.doc_id, g.chunk_idx::int, array_to_string(c.l[g.a + 1:g.b], ' ') from g join c on c.doc_id = g.doc_id""")
+def budget_chunks(spark, d):
+    """Sentences packed into chunks of 60 tokens, here words of letters and digits, with an overlap of 15."""
+    return claims.budget_chunks(_docs(spark, d), ["doc_id"], "text", _word_counter, "words", 60, 15)
+
+
 @query(f"""select page_id, {O.trimmed(f"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '(?is)<script[^>]*>.*?</script[^>]*>', '', 'g'), '(?is)<style[^>]*>.*?</style[^>]*>', '', 'g'), '<[^>]*>', '', 'g'), '{O.WHITE}+', ' ', 'g')")} as text from pages""")
 def strip_html(spark, d):
     return table(spark, d, "pages").select("page_id", T.strip_html(F.col("html")).alias("text"))

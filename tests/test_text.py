@@ -8,7 +8,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from claimweave.functions import text as T
-from claimweave.operators import claims
+from claimweave.operators import backends, claims
 
 ABBREVIATIONS = ("Mr.", "Mrs.", "Ms.", "Dr.", "Prof.", "Sr.", "Jr.", "vs.", "etc.")
 
@@ -132,3 +132,34 @@ def test_sql_names(spark):
     want = df.select("id", T.sentences(t).alias("s"), T.normalized(t).alias("n"), T.is_compound(t).alias("c"), T.adaptive_k(t, 10).alias("k"), T.input_hash(t, F.lit(None).cast("string"), t).alias("h"), T.cosine(F.col("v"), F.array(F.lit(1.0), F.lit(1.0))).alias("x"))
     assert got == want.orderBy("id").collect()
     assert [r.sentence for r in spark.sql("select * from claims_of('One. Two.') order by idx").collect()] == ["One.", "Two."]
+
+
+def test_budget_chunks(spark):
+    assert claims.packed([], 5, 1) == []
+    assert claims.packed([3, 3, 3], 6, 0) == [(0, 2), (1, 3)]  # the last sentence stays, whatever the overlap
+    assert claims.packed([9, 1, 1], 5, 2) == [(0, 1), (0, 2), (0, 3)]  # so does a sentence that the overlap has to reach
+    assert claims.packed([1, 1, 1], 2, 99) == [(0, 2), (0, 3)]  # an overlap beyond the budget keeps all
+
+    def words():
+        return lambda texts: [len(t.split()) for t in texts]
+
+    texts = ["One two. Three four. Five six.", "", "  short one", None, "a b c d e f g"]
+    got = sorted(map(tuple, claims.budget_chunks(frame(spark, texts), ["id"], "text", words, "test words", 4, 2).collect()))
+    assert got == [(0, 0, "One two. Three four."), (0, 1, "Three four. Five six."), (1, 0, ""), (2, 0, "  short one"), (4, 0, "a b c d e f g")]
+    assert [r.chunk for r in claims.budget_chunks(frame(spark, texts[:1]), ["id"], "text", words, "test words", 0, 2).collect()] == texts[:1]
+
+
+def test_tokens(spark):
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    def make():
+        t = Tokenizer(models.WordLevel({"[UNK]": 0, "red": 1, "fox": 2, "\u00e9": 3}, unk_token="[UNK]"))
+        t.pre_tokenizer = pre_tokenizers.Whitespace()
+        return t
+
+    df = frame(spark, ["red \u00e9 fox cat", "", None, "fox"])
+    told = backends.tokenize(df, ["id"], "text", make, "tiny", most=3)
+    got = {r.id: (r.ids, r.starts, r.ends, r.n_tokens) for r in told.collect()}
+    assert got == {0: ([1, 3, 2], [0, 4, 6], [3, 5, 9], 4), 1: ([], [], [], 0), 2: ([], [], [], 0), 3: ([2], [0], [3], 1)}
+    assert {r.id: r.text for r in backends.decode(told, ["id"], "ids", make, "tiny").collect()} == {0: "red \u00e9 fox", 1: "", 2: "", 3: "fox"}
+    assert backends.token_counter(make)()(["red fox", ""]) == [2, 0]
