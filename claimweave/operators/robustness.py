@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import json
+import urllib.request
 from collections.abc import Callable, Iterator
+from concurrent.futures import ThreadPoolExecutor
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -51,7 +54,7 @@ def expand(cases: DataFrame, most: int = 3, samples: int = 1) -> DataFrame:
 def ask(prompts: DataFrame, make: Callable[[], Callable], key: str) -> DataFrame:
     """prompts with response, from an agent (a function of a list of prompts) that each worker makes once.
 
-    An agent behind HTTP is such a function; an answer that fails is null.
+    `http_agent` makes one of an agent behind HTTP.
     """
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in prompts.schema.fields)
 
@@ -63,6 +66,45 @@ def ask(prompts: DataFrame, make: Callable[[], Callable], key: str) -> DataFrame
     return prompts.mapInPandas(run, f"{kinds}, response string")
 
 
+def pointed(value, pointer: str):
+    """What a JSON pointer names in a parsed value, or None."""
+    for part in pointer.split("/")[1:]:
+        name = part.replace("~1", "/").replace("~0", "~")
+        if isinstance(value, dict):
+            value = value.get(name)
+        elif isinstance(value, list) and name.isdecimal() and int(name) < len(value):
+            value = value[int(name)]
+        else:
+            return None
+    return value
+
+
+def http_agent(url: str, template: str, pointer: str, headers: dict[str, str] | None = None, timeout: float = 60.0, at_once: int = 8) -> Callable[[], Callable]:
+    """`make` of an agent behind HTTP, for `ask`: posts the template with each prompt put in, escaped as JSON text.
+
+    The answer is the text at `pointer` of the response. A request that fails, or a response without a text there,
+    gives null. A task that runs again sends its prompts again.
+    """
+
+    def post(prompt: str | None) -> str | None:
+        if prompt is None:
+            return None
+        body = template.replace("{prompt}", json.dumps(prompt, ensure_ascii=False)[1:-1])
+        request = urllib.request.Request(url, body.encode(), {"Content-Type": "application/json", **(headers or {})})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as response:
+                found = pointed(json.load(response), pointer)
+        except (OSError, ValueError):  # no connection, an error status, or no JSON
+            return None
+        return found if isinstance(found, str) else None
+
+    def make():
+        pool = ThreadPoolExecutor(at_once)
+        return lambda prompts: list(pool.map(post, prompts))
+
+    return make
+
+
 def fill_template(template: Column, prompt: Column) -> Column:
     """A request body with the prompt put in, escaped as JSON text."""
     quoted = F.to_json(F.struct(prompt.alias("p")))

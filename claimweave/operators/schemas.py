@@ -1,23 +1,46 @@
 """JSON Schema (a Draft 7 subset) compiled to Column predicates.
 
 Keywords: type, required, properties, additionalProperties, minProperties, maxProperties, enum, const, pattern,
-minLength, maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, items (one schema), contains,
-minItems, maxItems, uniqueItems, allOf, anyOf, oneOf, not, if/then/else and $ref into the schema itself. `format` is
-an annotation. A schema with another validating keyword, or one that refers to itself, is refused when it is compiled.
+minLength, maxLength, minimum, maximum, exclusiveMinimum, exclusiveMaximum, multipleOf, items (one schema or one for
+each place), additionalItems, contains, minItems, maxItems, uniqueItems, patternProperties, propertyNames,
+dependencies, allOf, anyOf, oneOf, not, if/then/else, $ref into the schema itself, and the formats of FORMATS; other
+formats are annotations. A schema with another validating keyword, or one that refers to itself, is refused when it
+is compiled.
 """
 
 from __future__ import annotations
 
 import json
-from functools import reduce
+from collections.abc import Callable
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "items", "minItems", "maxItems", "uniqueItems", "allOf", "anyOf", "not", "oneOf", "if", "then", "else", "minProperties", "maxProperties", "multipleOf", "contains"}
-_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "format", "$comment", "definitions", "$defs"}
+_KNOWN = {"type", "required", "properties", "additionalProperties", "enum", "const", "pattern", "minLength", "maxLength", "minimum", "maximum", "exclusiveMinimum", "exclusiveMaximum", "items", "minItems", "maxItems", "uniqueItems", "allOf", "anyOf", "not", "oneOf", "if", "then", "else", "minProperties", "maxProperties", "multipleOf", "contains", "patternProperties", "propertyNames", "dependencies", "additionalItems", "format"}
+_NOTES = {"$schema", "$id", "title", "description", "default", "examples", "$comment", "definitions", "$defs"}
+
+_DATE = r"[0-9]{4}-[0-9]{2}-[0-9]{2}"
+_TIME = r"([01][0-9]|2[0-3]):[0-5][0-9]:([0-5][0-9]|60)([.][0-9]+)?([zZ]|[+-]([01][0-9]|2[0-3]):[0-5][0-9])"
+_LABEL, _BYTE, _GROUP = "[A-Za-z0-9]([A-Za-z0-9-]{0,61}[A-Za-z0-9])?", "(25[0-5]|2[0-4][0-9]|1[0-9]{2}|[1-9]?[0-9])", "[0-9A-Fa-f]{1,4}"
+_HOST = rf"(?=.{{1,253}}\z){_LABEL}([.]{_LABEL})*"
+#: Formats that are checked: patterns of the whole text.
+FORMATS = {
+    "date": _DATE, "time": _TIME, "date-time": f"{_DATE}[Tt]{_TIME}",
+    "hostname": _HOST, "email": rf"[A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+([.][A-Za-z0-9!#$%&'*+/=?^_`{{|}}~-]+)*@{_HOST}",
+    "ipv4": rf"{_BYTE}([.]{_BYTE}){{3}}", "ipv6": rf"({_GROUP}:){{7}}{_GROUP}|(?=.{{2,39}}\z)(?!(.*:)?{_GROUP}(:+{_GROUP}){{7}})({_GROUP}(:{_GROUP})*)?::({_GROUP}(:{_GROUP})*)?",
+    "uri": r"[A-Za-z][A-Za-z0-9+.-]*:([A-Za-z0-9._~:/?#@!$&'()*+,;=\[\]-]|%[0-9A-Fa-f]{2})*", "json-pointer": "(/([^~/]|~[01])*)*",
+}
+
+
+def has_format(text: Column, name: str) -> Column:
+    """Whether a text is of a format of FORMATS; dates have to be in the calendar."""
+    if name == "ipv6":  # two groups may be written as an IPv4 address
+        text = F.regexp_replace(text, rf"(?<=:){FORMATS['ipv4']}\z", "0:0")
+    fits = text.rlike(rf"\A({FORMATS[name]})\z")
+    return fits & F.substring(text, 1, 10).try_cast("date").isNotNull() if name in ("date", "date-time") else fits
 
 
 class UnsupportedSchema(ValueError):
@@ -85,6 +108,8 @@ def compile_schema(schema: dict, value: Column, path: str = "", root: dict | Non
         out.append((path, "maxLength", is_text & (F.length(text) > schema["maxLength"])))
     if "pattern" in schema:
         out.append((path, "pattern", is_text & ~text.rlike(schema["pattern"])))
+    if schema.get("format") in FORMATS:
+        out.append((path, "format", is_text & ~has_format(text, schema["format"])))
     for key in ("enum", "const"):
         if key in schema:
             allowed = [json.dumps(v, separators=(",", ":"), ensure_ascii=False) for v in (schema["enum"] if key == "enum" else [schema["const"]])]
@@ -93,13 +118,30 @@ def compile_schema(schema: dict, value: Column, path: str = "", root: dict | Non
         out.append((path, "required", here & _is(value, "object") & F.try_variant_get(value, _step(name), "variant").isNull()))
     for name, sub in schema.get("properties", {}).items():
         out += inner(sub, F.try_variant_get(value, _step(name), "variant"), f"{path}/{name}")
-    is_object, known = here & _is(value, "object"), F.array(*map(F.lit, schema.get("properties", {"": 0})))
-    keys = F.json_object_keys(F.to_json(value))
+    is_object, known = here & _is(value, "object"), F.array(*map(F.lit, schema.get("properties", {}))).cast("array<string>")
+    keys, entries = F.json_object_keys(F.to_json(value)), F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
+
+    def some(rows: Column, test: Callable[[Column], Column]) -> Column:
+        return F.coalesce(F.exists(rows, test), F.lit(False))
+
+    patterns = schema.get("patternProperties", {})
+    for pattern, sub in patterns.items():
+        test = partial(lambda p, s, x: x["key"].rlike(p) & fails(s, x["value"]), pattern, sub)
+        out.append((f"{path}/*", "patternProperties", is_object & some(entries, lambda x: test(x))))  # noqa: B023
+    if "propertyNames" in schema:
+        out.append((path, "propertyNames", is_object & some(keys, lambda x: fails(schema["propertyNames"], x.cast("variant")))))
+    for name, needs in schema.get("dependencies", {}).items():
+        there = is_object & F.array_contains(keys, name)
+        missing = F.size(F.array_except(F.array(*map(F.lit, needs)).cast("array<string>"), keys)) > 0 if isinstance(needs, list) else fails(needs, value)
+        out.append((path, "dependencies", there & missing))
+
+    def more(x: Column) -> Column:
+        return reduce(lambda kept, p: kept & ~x.rlike(p), patterns, ~F.array_contains(known, x))
+
     if schema.get("additionalProperties") is False:
-        out.append((path, "additionalProperties", is_object & (F.size(F.array_except(keys, known)) > 0)))
+        out.append((path, "additionalProperties", is_object & some(keys, more)))
     elif isinstance(schema.get("additionalProperties"), dict):
-        more = F.filter(F.map_entries(F.try_variant_get(value, "$", "map<string,variant>")), lambda x: ~F.array_contains(known, x["key"]))
-        out.append((f"{path}/*", "additionalProperties", is_object & F.coalesce(F.exists(more, lambda x: fails(schema["additionalProperties"], x["value"])), F.lit(False))))
+        out.append((f"{path}/*", "additionalProperties", is_object & some(entries, lambda x: more(x["key"]) & fails(schema["additionalProperties"], x["value"]))))
     if "minProperties" in schema:
         out.append((path, "minProperties", is_object & (F.size(keys) < schema["minProperties"])))
     if "maxProperties" in schema:
@@ -115,7 +157,12 @@ def compile_schema(schema: dict, value: Column, path: str = "", root: dict | Non
     if schema.get("uniqueItems"):
         texts = F.transform(items, lambda x: F.to_json(x))
         out.append((path, "uniqueItems", is_array & (F.size(F.array_distinct(texts)) < F.size(items))))
-    if isinstance(schema.get("items"), dict):
+    if isinstance(schema.get("items"), list):
+        for i, sub in enumerate(schema["items"]):
+            out += inner(sub, F.get(items, F.lit(i)), f"{path}/{i}")
+        rest = F.slice(items, len(schema["items"]) + 1, F.greatest(F.size(items), F.lit(0)))
+        out.append((f"{path}/*", "additionalItems", is_array & F.coalesce(F.exists(rest, lambda x: fails(schema.get("additionalItems", {}), x)), F.lit(False))))
+    elif isinstance(schema.get("items"), dict):
         broken = F.exists(items, lambda x: fails(schema["items"], x))
         out.append((f"{path}/*", "items", is_array & F.coalesce(broken, F.lit(False))))
     if "contains" in schema:

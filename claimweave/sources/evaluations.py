@@ -20,10 +20,10 @@ def from_conversations(turns: DataFrame) -> DataFrame:
     )
 
 
-def request_error(context: str = "context", output: str = "output", granularity: str | None = None):
+def request_error(context: str = "context", output: str = "output", granularity: str | None = None, most: tuple[int, int] = (MAX_CONTEXT_BYTES, MAX_OUTPUT_BYTES)):
     """Why a request is rejected, or null."""
     out = F.when(F.trim(context) == "", "empty_context").when(F.trim(output) == "", "empty_output")
-    out = out.when(F.octet_length(context) > MAX_CONTEXT_BYTES, "context_too_large").when(F.octet_length(output) > MAX_OUTPUT_BYTES, "output_too_large")
+    out = out.when(F.octet_length(context) > most[0], "context_too_large").when(F.octet_length(output) > most[1], "output_too_large")
     if granularity:
         out = out.when(F.col(granularity).isNotNull() & (F.col(granularity) != "sentence"), "unsupported_granularity")
     return out

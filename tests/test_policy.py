@@ -172,7 +172,7 @@ def test_schema(spark, text, kinds):
 def test_schema_depth_and_refusal(spark):
     df = spark.createDataFrame([(0, '{"a":{"b":{}}}')], "id long, doc string")
     assert [e.kind for e in schemas.validate(df, ["id"], "doc", {"type": "object"}, 2).first().errors] == ["max_depth"]
-    for bad in ({"minimum": 1, "exclusiveMinimum": True}, {"$ref": "#/x"}, {"properties": {"a": {"$ref": "#"}}}, {"patternProperties": {}}):
+    for bad in ({"minimum": 1, "exclusiveMinimum": True}, {"$ref": "#/x"}, {"properties": {"a": {"$ref": "#"}}}, {"unevaluatedItems": False}):
         with pytest.raises(schemas.UnsupportedSchema):
             schemas.validate(df, ["id"], "doc", bad)
 
@@ -212,9 +212,63 @@ def test_rag(spark):
         ({"definitions": {"n": {"type": "integer", "multipleOf": 3}}, "properties": {"x": {"$ref": "#/definitions/n"}}}, [{"x": 9}, {}], [{"x": 8}, {"x": "9"}]),
         ({"properties": {"a": {}}, "additionalProperties": {"type": "string"}, "maxProperties": 2, "minProperties": 1}, [{"a": 1}, {"a": 1, "b": "x"}], [{"b": 1}, {}, {"a": 1, "b": "x", "c": "y"}]),
         ({"contains": {"type": "string"}}, [["a", 1], "x"], [[1], []]),
+        ({"patternProperties": {"^n_": {"type": "integer"}, "_s$": {"minLength": 2}}, "properties": {"a": {}}, "additionalProperties": False}, [{"n_a": 1, "a": "x"}, {"b_s": "xy"}, {}, [1]], [{"n_a": "1"}, {"b_s": "x"}, {"b": 1}]),
+        ({"propertyNames": {"pattern": "^[a-z]+$", "maxLength": 3}}, [{"ab": 1}, {}, "AB"], [{"A": 1}, {"abcd": 1}]),
+        ({"dependencies": {"a": ["b"], "c": {"required": ["d"], "minProperties": 3}}}, [{"b": 1}, {"a": 1, "b": None}, {"c": 1, "d": 1, "e": 1}, [], "a"], [{"a": 1}, {"c": 1, "d": 1}]),
+        ({"items": [{"type": "integer"}, {"type": "string"}], "additionalItems": {"type": "null"}}, [[1, "a", None], [1], [], "x"], [["a"], [1, 2], [1, "a", 0]]),
+        ({"items": [{"type": "integer"}], "additionalItems": False}, [[1], []], [[1, 2]]),
     ],
 )
 def test_more_keywords(spark, schema, good, bad):
     rows = [(i, json.dumps(v)) for i, v in enumerate([*good, *bad])]
     got = {r.id: r.valid for r in schemas.validate(spark.createDataFrame(rows, "id long, doc string"), ["id"], "doc", schema).collect()}
     assert [got[i] for i in range(len(rows))] == [True] * len(good) + [False] * len(bad)
+
+
+@pytest.mark.parametrize(
+    ("name", "good", "bad"),
+    [
+        ("date", ["2024-02-29", 5], ["2023-02-29", "2024-2-01", "2024-02-01\n", ""]),
+        ("date-time", ["2024-02-29T12:00:00Z", "2024-01-01t23:59:60.5+02:00"], ["2024-02-29 12:00:00Z", "2024-13-01T00:00:00Z", "2024-01-01T24:00:00Z", "2024-01-01T00:00:00"]),
+        ("time", ["00:00:00Z"], ["00:00Z", "25:00:00Z"]),
+        ("email", ["a.b+c@d-e.org"], ["a..b@c.d", ".a@b", "a@", "a@-b", "a b@c"]),
+        ("hostname", ["a.b-c.d", "x" * 63], ["a..b", "-a", "x" * 64, "a_b", ""]),
+        ("ipv4", ["0.0.0.0", "255.10.1.99"], ["256.0.0.1", "1.2.3", "01.2.3.4", "1.2.3.4.5"]),
+        ("ipv6", ["::", "::1", "1:2:3:4:5:6:7:8", "1::8", "fe80::1:2", "::ffff:1.2.3.4", "1:2:3:4:5:6:7::", "1:2:3:4:5:6:1.2.3.4"], [":", "1:2:3:4:5:6:7", "1:2:3:4:5:6:7:8:9", "1::2::3", "12345::", "1:2:3:4::5:6:7:8", ":::", "1.2.3.4"]),
+        ("uri", ["http://a.b/c?d#e", "urn:x:y%20z"], ["/a", "http://a b", "1x:y", "a:%2"]),
+        ("json-pointer", ["", "/a~0/b~1"], ["a", "/~2"]),
+        ("color", ["anything"], []),
+    ],
+)
+def test_formats(spark, name, good, bad):
+    rows = [(i, json.dumps(v)) for i, v in enumerate([*good, *bad])]
+    got = {r.id: r.valid for r in schemas.validate(spark.createDataFrame(rows, "id long, doc string"), ["id"], "doc", {"format": name}).collect()}
+    assert [got[i] for i in range(len(rows))] == [True] * len(good) + [False] * len(bad)
+
+
+def test_agent_behind_http(spark):
+    from http.server import BaseHTTPRequestHandler, ThreadingHTTPServer
+    from threading import Thread
+
+    class Echo(BaseHTTPRequestHandler):
+        def do_POST(self):
+            prompt = json.loads(self.rfile.read(int(self.headers["Content-Length"])))["q"]
+            out = {"choices": [{"text": prompt[::-1]}]} if prompt != "odd" else {"choices": [{"text": 5}]}
+            self.send_response(500 if prompt == "fail" else 200)
+            self.end_headers()
+            self.wfile.write(b"no json" if prompt == "broken" else json.dumps(out).encode())
+
+        def log_message(self, *args):
+            pass
+
+    server = ThreadingHTTPServer(("127.0.0.1", 0), Echo)
+    Thread(target=server.serve_forever, daemon=True).start()
+    try:
+        url = f"http://127.0.0.1:{server.server_port}/"
+        rows = spark.createDataFrame([(x,) for x in ('say "\u00e9"\n', "odd", "fail", "broken", None)], "prompt string")
+        got = {r.prompt: r.response for r in robustness.ask(rows, robustness.http_agent(url, '{"q":"{prompt}"}', "/choices/0/text"), "echo").collect()}
+        assert got == {'say "\u00e9"\n': '\n"\u00e9" yas', "odd": None, "fail": None, "broken": None, None: None}
+    finally:
+        server.shutdown()
+    assert robustness.http_agent(url, "{prompt}", "", timeout=1)()(["x"]) == [None]
+    assert [robustness.pointed({"a/b": [{"~": 1}]}, p) for p in ("/a~1b/0/~0", "/a~1b/1", "/x", "")] == [1, None, None, {"a/b": [{"~": 1}]}]

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from claimweave import __main__ as cli
-from claimweave import __version__, config
+from claimweave import __version__, config, service
 from claimweave.operators import backends, grounding, report
 from claimweave.sources import evaluations
 
@@ -120,3 +120,25 @@ def test_models_and_embeddings_plug_into_verdicts(spark):
 
     got = {r.claim_idx: r for r in grounding.verdicts(evals, grounding.Config(), grounding.ModelBackend(nli, "nli"), embed).collect()}
     assert [(got[i].label, got[i].evaluated, got[i].ctx_idx) for i in (0, 1)] == [("entailment", 1, 1), ("contradiction", 1, 0)]
+
+
+def test_service_settings(tmp_path):
+    file = tmp_path / "service.toml"
+    file.write_text('[server]\nport = 1\n[faithfulness]\ndefault_top_k = 3\nadaptive_top_k = false\npartial_threshold = 0.3\nmax_output_chars = 9\n[models]\nnli_model_path = "m"\n[workers]\nqueue_depth = 1\nbatch_size = 4\n')
+    got = service.load(file, {})
+    assert (got.check.top_k, got.check.adaptive, got.check.partial, got.limits, got.nli_model, got.batch_size) == (3, False, (0.3, 0.65, 0.7), (500_000, 9), "m", 4)
+    env = {"CLAIMWEAVE_FAITHFULNESS__DEFAULT_TOP_K": "7", "CLAIMWEAVE_FAITHFULNESS__ADAPTIVE_TOP_K": "TRUE", "CLAIMWEAVE_SERVER__PORT": "x", "OTHER": "1"}
+    assert (service.load(file, env).check.top_k, service.load(file, env).check.adaptive) == (7, True)
+    assert service.load(None, {}).check == grounding.SERVICE
+    for bad in ("[odd]\n", "[faithfulness]\nodd = 1\n", "[faithfulness]\ndefault_top_k = 1.5\n", "[faithfulness]\ndefault_threshold = 2\n", "[faithfulness]\nadaptive_top_k = 1\n"):
+        file.write_text(bad)
+        with pytest.raises(ValueError):
+            service.load(file, {})
+    for name, value in (("CLAIMWEAVE_FAITHFULNESS__ODD", "1"), ("CLAIMWEAVE_FAITHFULNESS__ADAPTIVE_TOP_K", "1"), ("CLAIMWEAVE_FAITHFULNESS__DEFAULT_TOP_K", "x")):
+        with pytest.raises(ValueError):
+            service.load(None, {name: value})
+
+
+def test_request_limits(spark):
+    rows = spark.createDataFrame([("ccc", "o"), ("c", "ooo"), ("c", "o")], "context string, output string")
+    assert [r[0] for r in rows.select(evaluations.request_error(most=(2, 2))).collect()] == ["context_too_large", "output_too_large", None]
