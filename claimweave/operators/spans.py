@@ -39,8 +39,12 @@ def merge_tokens(rows: DataFrame, keys: list[str], target: int = 1) -> DataFrame
 
 
 def merge_intervals(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, start, end, p of intervals made one where they overlap or touch, p being the largest."""
-    order = Window.partitionBy(*keys).orderBy("start", "end")
+    """keys, start, end, p of intervals made one where they overlap or touch, p being the largest.
+
+    Nulls sort last: an interval without a start joins the last one of its keys if any there has an end, else it stays alone.
+    Both windows share one sort, so intervals of equal places keep their order between them and ties change nothing.
+    """
+    order = Window.partitionBy(*keys).orderBy(F.asc_nulls_last("start"), F.asc_nulls_last("end"))
     reach = F.max("end").over(order.rowsBetween(Window.unboundedPreceding, -1))
     fresh = rows.withColumn("_fresh", F.when(reach.isNull() | (F.col("start") > reach), 1).otherwise(0))
     island = fresh.withColumn("_island", F.sum("_fresh").over(order.rowsBetween(Window.unboundedPreceding, 0)))

@@ -153,6 +153,26 @@ def test_spans(spark):
     assert [(r.start, r.end) for r in clipped] == [(0, 2), (5, 8)]
 
 
+def test_intervals_without_a_place_come_last(spark):
+    rows = [(0, 5, None, 0.2), (0, 5, 6, 0.3), (0, 1, 2, 0.4), (0, None, None, 0.9), (1, None, None, 0.1), (1, None, None, 0.2)]
+    df = spark.createDataFrame(rows, "id long, start long, end long, p double")
+    got = sorted(map(tuple, spans.merge_intervals(df, ["id"]).collect()), key=str)
+    assert got == [(0, 1, 2, 0.4), (0, 5, 6, 0.9), (1, None, None, 0.1), (1, None, None, 0.2)]
+
+
+def test_equal_intervals_merge_whatever_their_order(spark):
+    rows = [(k % 3, 4 * (k * 7 % 50), 4 * (k * 7 % 50) + 1 + k % 6, (k % 10) / 10) for k in range(6000)]
+    want = []
+    for key, start, end, p in sorted(rows):
+        if want and want[-1][0] == key and start <= want[-1][2]:
+            want[-1][2:] = [max(want[-1][2], end), max(want[-1][3], p)]
+        else:
+            want.append([key, start, end, p])
+    made = spans.merge_intervals(spark.createDataFrame(rows, "id long, start long, end long, p double").repartition(13), ["id"])
+    assert made._jdf.queryExecution().executedPlan().toString().count("Sort [") == 1  # both windows read one order
+    assert sorted(map(list, made.collect())) == want and len(want) > 3
+
+
 USER = {"type": "object", "required": ["name", "age"], "properties": {"name": {"type": "string", "minLength": 1, "pattern": "^[A-Z]"}, "age": {"type": "integer", "minimum": 0, "maximum": 150}, "role": {"enum": ["a", "b"]}, "tags": {"type": "array", "items": {"type": "string"}, "minItems": 1, "maxItems": 2, "uniqueItems": True}}, "additionalProperties": False}
 
 
